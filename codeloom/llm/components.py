@@ -22,22 +22,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     root leave the edge table, so it shrinks by at least half a round; stars end in
     one. An empty edge table gives an empty result.
     """
-    edges = stash(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
-    found = None
+    def simple(e: DataFrame) -> DataFrame:
+        return stash(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", small=True)
+
+    edges, found = simple(edges), None
     while not edges.isEmpty():
-        parents = stash(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("r")), "parents")
-        while True:
-            longer = stash(_follow(parents, "r", parents), "jump")
-            changed = longer.alias("n").join(parents.alias("o"), "v").where("n.r <> o.r")
-            done = changed.isEmpty()
-            parents = longer
-            if done:
-                break
-        found = parents if found is None else stash(_follow(found, "r", parents).unionByName(parents), "roots")
-        moved = _follow(_follow(edges, "a", parents), "b", parents)
-        edges = stash(
-            moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-        )
+        parents = stash(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("r")), "parents", small=True)
+        while not parents.select("r").join(parents.select(F.col("v").alias("r")), "r").isEmpty():
+            parents = stash(_follow(parents, "r", parents), "parents", small=True)
+        found = parents if found is None else stash(_follow(found, "r", parents).unionByName(parents), "roots", small=True)
+        edges = simple(_follow(_follow(edges, "a", parents), "b", parents))
     return found if found is not None else edges.select(F.col("b").alias("v"), F.col("a").alias("r"))

@@ -11,7 +11,8 @@ share ``k`` tokens among the first ``|set| - o + k`` of each.
 * The boundary is the size at which the estimated cost (postings written plus
   expected list entries) over both halves is least, from exact per-size totals.
 
-The order puts tokens of frequent buckets last. Frequencies are counted over all
+The order goes by an upper bound of the number of texts that hold a token: its own
+counter or that of its rarest word, whichever is less. Both are counted over all
 texts in a sketch of a fixed number of counters, which is all that is broadcast.
 
 Long lists are never expanded into all pairs. Each list has a pivot, its member with
@@ -44,11 +45,25 @@ PIECES = 64
 MOST_SMALL = 64
 
 
-def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+def _words(column: pa.Array) -> Iterator[np.ndarray]:
     raw, bounds = K.buffer_of(column)
     _, _, words, at = K.words_of(raw, bounds, K.NOT_BLANK)
     for a, b in zip(at, at[1:], strict=False):
-        yield np.unique(K.shingle_hashes(words[a:b], n))
+        yield words[a:b]
+
+
+def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    for words in _words(column):
+        yield np.unique(K.shingle_hashes(words, n))
+
+
+def _rarest(loads: np.ndarray, n: int) -> np.ndarray:
+    """For each run of ``n`` words the least of their loads, which bounds how many texts hold the run."""
+    n = min(n, len(loads))
+    out = loads[: len(loads) - n + 1]
+    for k in range(1, n):
+        out = np.minimum(out, loads[k : len(loads) - n + 1 + k])
+    return out
 
 
 def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
@@ -58,22 +73,50 @@ def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
+def _class_key(tokens: np.ndarray) -> str:
+    h1, h2 = _fingerprint(tokens)
+    return f"{h1},{h2},{len(tokens)}"
+
+
+def _counters(bits: int) -> int:
+    return (1 << bits) + (4 << bits)
+
+
+def _word_slot(words: np.ndarray, bits: int) -> np.ndarray:
+    return (words >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _token_slot(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(62 - bits)).astype(np.int64) + (1 << bits)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters of a piece: a byte each where that is enough, as it is in most tasks."""
+    return (counts.astype(np.uint8) if counts.max(initial=0) < 256 else counts).tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == size else np.uint32)
+
+
 def _count(ngram: int, bits: int):
-    """Rows (id, n, h1, h2), and at the end of a task the pieces of its counters (piece, counts)."""
+    """Rows (id, n, h1, h2), and at the end of a task the pieces of its word counters (piece, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(_counters(bits), np.uint32)
         seen: set[tuple[int, int, int]] = set()
         ids = None
         for batch in batches:
             ids = batch.column(0)
             rows = []
-            for tokens in _sets(batch.column(1), ngram):
+            for words in _words(batch.column(1)):
+                tokens = np.unique(K.shingle_hashes(words, ngram))
                 key = (len(tokens), *_fingerprint(tokens))
                 rows.append(key)
                 if key not in seen and len(tokens):
                     seen.add(key)
-                    np.add.at(counts, (tokens >> np.uint64(64 - bits)).astype(np.int64), 1)
+                    np.add.at(counts, _word_slot(np.unique(words), bits), 1)
+                    np.add.at(counts, _token_slot(tokens, bits), 1)
             n, h1, h2 = zip(*rows, strict=True) if rows else ((), (), ())
             none = pa.nulls(len(rows))
             yield pa.RecordBatch.from_arrays(
@@ -84,21 +127,26 @@ def _count(ngram: int, bits: int):
             pieces = counts.reshape(PIECES, -1)
             none = pa.nulls(PIECES)
             yield pa.RecordBatch.from_arrays(
-                [none.cast(ids.type), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())],
+                [none.cast(ids.type), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array([_packed(p) for p in pieces], pa.binary())],
                 names=["id", "n", "h1", "h2", "piece", "counts"],
             )
 
     return run
 
 
-def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.uint64)
-            total[piece] = total[piece] + part if piece in total else part
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "counts"])
+def _sum_pieces(bits: int):
+    size = _counters(bits) // PIECES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = _unpacked(counts.as_py(), size).astype(np.float64)
+                total[piece] = total[piece] + part if piece in total else part
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["piece", "counts"])
+
+    return run
 
 
 def _prefixes(ngram: int, percent: int, bits: int, sketch):
@@ -106,11 +154,12 @@ def _prefixes(ngram: int, percent: int, bits: int, sketch):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = sketch.value
-        usual = float(loads.mean())
+        usual = float(loads[1 << bits :].mean())
         seen: set[tuple[int, int, int]] = set()
         for batch in batches:
             rows = []
-            for i, tokens in enumerate(_sets(batch.column(1), ngram)):
+            for i, words in enumerate(_words(batch.column(1))):
+                tokens, first = np.unique(K.shingle_hashes(words, ngram), return_index=True)
                 n = len(tokens)
                 if n * (100 - percent) < percent:
                     continue
@@ -118,10 +167,11 @@ def _prefixes(ngram: int, percent: int, bits: int, sketch):
                 if key in seen:
                     continue
                 seen.add(key)
-                load = loads[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
+                own = loads[_token_slot(tokens, bits)]
+                load = np.minimum(_rarest(loads[_word_slot(words, bits)], ngram)[first], own)
                 order = np.lexsort((tokens, load))[: n - (percent * n + 99) // 100 + 2]
                 parity = np.packbits(np.bincount((tokens & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1).view(np.int64)
-                rows.append((i, *key, parity, K.signed(tokens[order]), float(np.maximum(load[order] - usual, 0).sum())))
+                rows.append((i, *key, parity, K.signed(tokens[order]), float(np.maximum(np.minimum(load, own - usual)[order] - 1, 0).sum())))
             if rows:
                 i, n, h1, h2, parity, prefix, load = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -133,7 +183,7 @@ def _prefixes(ngram: int, percent: int, bits: int, sketch):
 
 
 def _sets_of(ngram: int, wanted):
-    """Rows (h1, h2, n, tokens) of the texts whose id may be wanted."""
+    """Rows (h, tokens) of the texts whose id may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -142,9 +192,9 @@ def _sets_of(ngram: int, wanted):
             keep = np.flatnonzero((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1)
             if not len(keep):
                 continue
-            rows = [(*_fingerprint(t), len(t), K.signed(t)) for t in _sets(batch.column(1).take(pa.array(keep)), ngram)]
-            h1, h2, n, tokens = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["h1", "h2", "n", "tokens"])
+            rows = [(_class_key(t), K.signed(t)) for t in _sets(batch.column(1).take(pa.array(keep)), ngram)]
+            h, tokens = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(tokens, pa.list_(pa.int64()))], names=["h", "tokens"])
 
     return run
 
@@ -227,8 +277,8 @@ class JaccardJoin:
 
         counted = stash(self.docs.mapInArrow(_count(ngram, sketch_bits), f"id {kind}, n int, h1 long, h2 long, {PIECE_SCHEMA}"), "shingles")
         self.rows = counted.where("piece is null").select("id", "n", "h1", "h2")
-        loads = _gathered(counted.where("piece is not null").select("piece", "counts"), _sum_pieces, np.uint64, 1 << sketch_bits)
-        sketch = self.spark.sparkContext.broadcast(loads.astype(np.float32))
+        loads = _gathered(counted.where("piece is not null").select("piece", "counts"), _sum_pieces(sketch_bits), np.float32, _counters(sketch_bits))
+        sketch = self.spark.sparkContext.broadcast(loads)
         self.sets = stash(
             self.docs.mapInArrow(_prefixes(ngram, percent, sketch_bits, sketch), f"id {kind}, n int, h1 long, h2 long, bitmap array<long>, prefix array<long>, load double").withColumn("uid", F.monotonically_increasing_id()),
             "prefixes",
@@ -274,32 +324,35 @@ class JaccardJoin:
         return near
 
     def _seen(self) -> DataFrame:
-        return self.classes.select("uid", F.struct("n", "bitmap").alias("s"))
+        key = F.concat_ws(",", "h1", "h2", "n")
+        return self.classes.select("uid", F.struct("n", "bitmap", "id", key.alias("h")).alias("s"))
 
     def _with(self, pairs: DataFrame, column: str, name: str) -> DataFrame:
         info = self._seen().select(F.col("uid").alias(f"_{name}"), F.col("s").alias(name))
         return pairs.join(info, pairs[column] == info[f"_{name}"]).drop(f"_{name}")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) of classes that link, by their whole sets."""
-        pairs = stash(pairs, "candidates")
-        ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-        wanted = stash(self.classes.select("uid", "id", "h1", "h2", "n").join(ids, "uid", "left_semi"), "wanted")
+        """Those of the pairs (a, b) of classes, with what is known of them (p, q), that link by their whole sets."""
         spot = F.pmod(F.xxhash64("id"), F.lit(1 << self.filter_bits))
-        marked = wanted.select(spot.alias("spot")).coalesce(PIECES).mapInArrow(_spots(1 << self.filter_bits), PIECE_SCHEMA)
+        pairs = pairs.where("a <> b").select("a", "b", F.col("p.h").alias("ha"), F.col("q.h").alias("hb"), F.col("p.id").alias("ia"), F.col("q.id").alias("ib"))
+        pairs = stash(pairs.dropDuplicates(["a", "b"]), "candidates", small=True)
+        ids = pairs.select(F.col("ia").alias("id")).union(pairs.select("ib"))
+        marked = ids.select(spot.alias("spot")).mapInArrow(_spots(1 << self.filter_bits), PIECE_SCHEMA)
         bits = self.spark.sparkContext.broadcast(_gathered(marked, _or_pieces, np.uint8, 1 << (self.filter_bits - 3)))
-        # The filter only spares work: rows that pass it by chance drop out in the join.
-        found = self.docs.select(spot.alias("spot"), "text").mapInArrow(_sets_of(self.ngram, bits), "h1 long, h2 long, n int, tokens array<long>")
-        sets = stash(found.join(wanted.select("uid", "h1", "h2", "n"), ["h1", "h2", "n"]).select("uid", "tokens"), "sets")
-        sets = sets.groupBy("uid").agg(F.first("tokens").alias("tokens"))
-        b = sets.select(F.col("uid").alias("b"), F.col("tokens").alias("tb"), second_key(F.col("uid")).alias("kb"))
-        a = sets.select(F.col("uid").alias("a"), F.col("tokens").alias("ta"), second_key(F.col("uid")).alias("ka"))
-        both = pairs.withColumn("kb", second_key(F.col("b"))).join(b, ["b", "kb"]).withColumn("ka", second_key(F.col("a"))).join(a, ["a", "ka"])
+        # The filter only spares work: texts that pass it by chance drop out in the join.
+        sets = stash(self.docs.select(spot.alias("spot"), "text").mapInArrow(_sets_of(self.ngram, bits), "h string, tokens array<long>"), "sets")
+        first = sets.select(F.col("h").alias("hb"), F.col("tokens").alias("tb"))
+        other = sets.select(F.col("h").alias("ha"), F.col("tokens").alias("ta"))
+        both = pairs.select("a", "b", "ha", "hb").join(first, "hb").select("a", "b", "ha", "tb").join(other, "ha")
         common = F.size(F.array_intersect("ta", "tb"))
-        return both.select("a", "b", common.alias("i"), (F.size("ta") + F.size("tb") - common).alias("u")).where(f"100 * i >= {self.percent} * u")
+        counted = both.select("a", "b", common.alias("i"), (F.size("ta") + F.size("tb") - common).alias("u"))
+        return counted.where(f"100 * i >= {self.percent} * u").distinct()
 
-    def _ordered(self, pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def _once(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, p, q) that may link, with the smaller side first."""
+        swap = F.col("a") > F.col("b")
+        named = {k: F.when(swap, F.col(v)).otherwise(F.col(k)).alias(k) for k, v in (("a", "b"), ("b", "a"), ("p", "q"), ("q", "p"))}
+        return pairs.where(self._may_link("p", "q")).select(*named.values())
 
     def _roots(self, links: DataFrame, groups: DataFrame) -> DataFrame:
         """groups with the component of the member (cx) and of the pivot (cg), without groups that are in one."""
@@ -307,26 +360,25 @@ class JaccardJoin:
         for side in ("x", "g"):
             step = roots.select(F.col("v").alias("_v"), F.col("r").alias("_r"))
             groups = groups.join(step, groups[side] == step["_v"], "left").withColumn(f"c{side}", F.coalesce("_r", side)).drop("_v", "_r")
-        return stash(groups, "colored")
+        return stash(groups, "colored", small=True)
 
     def _link_rounds(self) -> DataFrame:
         """Links that make the components; not all links within them."""
         star = self._with(self._with(self.groups.where("g <> x").select(F.col("g").alias("a"), F.col("x").alias("b")), "a", "p"), "b", "q")
-        links = stash(self._verified(self._ordered(star.where(self._may_link("p", "q")))).select("a", "b"), "links")
+        links = stash(self._verified(self._once(star)).select("a", "b"), "links", small=True)
         colored = self._roots(links, self.groups)
         apart = colored.where("cx <> cg")
         # A second pivot: the member outside the first one's component whose bitmap has most company there is not known, so the one of least id stands in.
         second = apart.groupBy("g").agg(F.min("x").alias("y"), F.count("*").alias("members")).where("members > 8").select("g", "y", second_key(F.col("g")).alias("k"))
         again = colored.withColumn("k", second_key(F.col("g"))).join(second, ["g", "k"]).where("x <> y").select(F.col("y").alias("a"), F.col("x").alias("b"))
         again = self._with(self._with(again.distinct(), "a", "p"), "b", "q")
-        links = stash(links.unionByName(self._verified(self._ordered(again.where(self._may_link("p", "q")))).select("a", "b")), "links")
+        links = stash(links.unionByName(self._verified(self._once(again)).select("a", "b")), "links", small=True)
         colored = self._roots(links, self.groups)
         left = self._with(colored.where("cx <> cg"), "x", "p").select("g", F.col("x").alias("a"), F.col("cx").alias("ca"), "p", second_key(F.col("g")).alias("k"))
         mixed = colored.where("cx <> cg").select("g").distinct()
         right = self._with(colored.join(mixed, "g", "left_semi"), "x", "q").select("g", F.col("x").alias("b"), F.col("cx").alias("cb"), (F.col("cx") == F.col("cg")).alias("main"), "q", second_key(F.col("g")).alias("k"))
-        right = right.repartition("g")
         rest = left.alias("l").join(right.alias("r"), (F.col("l.g") == F.col("r.g")) & (F.col("l.k") == F.col("r.k")) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & self._may_link("p", "q"))
-        return stash(links.unionByName(self._verified(self._ordered(rest.select("a", "b"))).select("a", "b")), "links")
+        return stash(links.unionByName(self._verified(self._once(rest)).select("a", "b")), "links", small=True)
 
     def pairs(self) -> DataFrame:
         """(a, b, i, u): all links between classes of equal sets, with sizes of intersection and union.
@@ -336,7 +388,7 @@ class JaccardJoin:
         """
         members = self._with(self.groups, "x", "p")
         left, right = members.select("g", F.col("x").alias("a"), "p"), members.select("g", F.col("x").alias("b"), F.col("p").alias("q"))
-        return self._verified(left.join(right, "g").where((F.col("a") < F.col("b")) & self._may_link("p", "q")).select("a", "b").distinct())
+        return self._verified(left.join(right, "g").where((F.col("a") < F.col("b")) & self._may_link("p", "q")))
 
     def membership(self) -> DataFrame:
         """(id, n, class_id): class_id is null for sets that equal copies only could match."""

@@ -32,15 +32,19 @@ def work_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the files nothing, and later
     passes read only the columns they use. Files stay until the folder is emptied,
     because the frame that a query returns is read after the query function ends.
+    ``small``: few rows against the input; an eighth of the usual tasks write it, which
+    spares thousands of tiny files where partitions are not coalesced.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if small:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
