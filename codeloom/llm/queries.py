@@ -1,12 +1,38 @@
-"""The queries ``opN_<name>`` with production parameters, and SQL for those that SQL can express."""
+"""The queries ``opN_<name>`` with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm import oracles
+from codeloom.llm.decontaminate import benchmark_hits
 from codeloom.llm.jaccard_join import JaccardJoin
+from codeloom.llm.pfair import interleave
+from codeloom.llm.quality_rules import judge
+from codeloom.llm.resharding import reshard
+from codeloom.llm.secret_scan import scan
 from codeloom.llm.shared import table
+from codeloom.llm.url_filter import CONTRACT_RULES, PATTERN_RULES, judge_urls
+
+SHARDS = 24
+#: Shards that documents lie in before resharding, by a hash of their source.
+OLD_SHARDS = 20
+
+
+def old_shard(source: str = "source"):
+    return F.pmod(F.crc32(F.coalesce(F.col(source), F.lit(""))), F.lit(OLD_SHARDS))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    repo = F.concat_ws("/", "source", "lang")
+    return scan(docs, owner=F.col("source"), repo=repo).withColumnRenamed("id", "doc_id").drop("found")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +40,39 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = reshard(docs, old_shard(), SHARDS)
+    return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return interleave(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, CONTRACT_RULES + PATTERN_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_secret_scan,
+        op4_quality_rules,
+        op5_ngram_jaccard_join,
+        op7_benchmark_decontamination,
+        op8_sharding,
+        op9_source_mixing,
+        op10_url_filter,
+    )
+}
+ORACLES = oracles.SQL

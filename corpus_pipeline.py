@@ -3,10 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from codeloom.llm.decontaminate import benchmark_hits
+from codeloom.llm.jaccard_join import JaccardJoin
+from codeloom.llm.pfair import interleave
+from codeloom.llm.quality_rules import keep_good
+from codeloom.llm.queries import SHARDS, old_shard
+from codeloom.llm.resharding import reshard
+from codeloom.llm.shared import stash, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-first rules keep, with their whole texts."""
+    return keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked texts (five words, 0.8) the document of least id; texts without words all stay."""
+    found = JaccardJoin(docs, ngram=5, percent=80).components()
+    first = found.where("id = component or component is null").select(F.col("id").alias("doc_id"))
+    return docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages worth a twentieth of their words."""
+    return benchmark_hits(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mix: files hold consecutive stretches of it."""
+    mixed = interleave(docs)
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the shard and slot they go to."""
+    out = reshard(docs, old_shard(), SHARDS)
+    return out.select(*docs.columns, "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("sharding", sharding),
+]
+
+#: The order of a hash that SQL lacks decides blocks and shards; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
