@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import oracles
+from codeloom.llm import license_scan, oracles, quality_cnn, toxicity
 from codeloom.llm.decontaminate import benchmark_hits
 from codeloom.llm.jaccard_join import JaccardJoin
 from codeloom.llm.pfair import interleave
@@ -24,6 +24,14 @@ def old_shard(source: str = "source"):
     return F.pmod(F.crc32(F.coalesce(F.col(source), F.lit(""))), F.lit(OLD_SHARDS))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     repo = F.concat_ws("/", "source", "lang")
@@ -40,6 +48,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("parts")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -66,9 +78,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_toxicity,
+        op2_quality_classifier,
         op3_secret_scan,
         op4_quality_rules,
         op5_ngram_jaccard_join,
+        op6_license_scan,
         op7_benchmark_decontamination,
         op8_sharding,
         op9_source_mixing,
