@@ -75,7 +75,8 @@ class Matcher:
         spot = np.minimum(np.searchsorted(self.known, pairs), len(self.known) - 1)
         text = np.searchsorted(at, np.arange(len(pairs)), "right") - 1
         hits = np.flatnonzero((self.known[spot] == pairs) & (np.arange(len(pairs)) + 1 < at[text + 1]))
-        for t in np.unique(text[hits]):
+        owner = text[hits]
+        for t in np.unique(owner):
             lo, hi = int(at[t]), int(at[t + 1])
             places = raw[bounds[t] : bounds[t + 1]]
             breaks = np.flatnonzero(places == 10) + bounds[t]
@@ -84,7 +85,7 @@ class Matcher:
             gap = np.concatenate([[0], np.cumsum(np.diff(line) > 1)])
             parts = set()
             for kind in (line, gap, np.zeros(hi - lo, np.int64)):
-                at_hit = np.unique(kind[hits[text == t] - lo])
+                at_hit = np.unique(kind[hits[np.searchsorted(owner, t, 'left') : np.searchsorted(owner, t, 'right')] - lo])
                 parts.update(zip((np.searchsorted(kind, at_hit, "left") + lo).tolist(), (np.searchsorted(kind, at_hit, "right") + lo).tolist(), strict=True))
             for a, b in sorted(parts):
                 if b - a >= 2:
