@@ -2,5 +2,496 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.functions import text as X
+from codeloom.operators import communities as C
+from codeloom.operators import graph as G
+from codeloom.operators import relational as R
+from codeloom.operators import resolve as V
+from codeloom.operators import search as S
+from codeloom.plans.demo import oracle, view
+from codeloom.sources.files import keep_files
+from codeloom.streaming import changes as H
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (t, spark) -> DataFrame, where t(name) is a table or view."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: view(spark, sf_dir, name), spark)
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = oracle(sql)
+        return f
+
+    return add
+
+
+def seeds(spark: SparkSession, *ids: int) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("node_id"))
+
+
+def levels_sql(ids: list[int], depth: int, reverse: bool, edges: str = "edg") -> str:
+    """Common table expressions l0 .. l<depth>, each without what earlier levels hold, and ``reached``."""
+    a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    out = ["l0 AS (SELECT CAST(i AS BIGINT) AS seed, CAST(i AS BIGINT) AS node_id, 0 AS depth, CAST(1 AS DOUBLE) AS confidence FROM (VALUES " + ", ".join(f"({i})" for i in ids) + ") v(i))"]
+    for k in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT seed, node_id FROM l{j}" for j in range(k))
+        out.append(f"l{k} AS (SELECT f.seed, e.{b} AS node_id, {k} AS depth, max(f.confidence * e.confidence) AS confidence FROM l{k - 1} f JOIN {{{edges}}} e ON e.{a} = f.node_id WHERE (f.seed, e.{b}) NOT IN ({before}) GROUP BY f.seed, e.{b})")
+    reached = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, depth + 1))
+    return "WITH " + ", ".join(out) + f", reached AS ({reached})"
+
+
+# --- sources -------------------------------------------------------------------------------------------
+
+
+@query("SELECT path, language, size FROM {doc_files} WHERE language IN ('en', 'de', 'fr', 'es')")
+def scan_files(t, spark):
+    return t("doc_files").where(F.col("language").isin("en", "de", "fr", "es")).select("path", "language", "size")
+
+
+@query("SELECT path FROM {doc_files} WHERE NOT regexp_matches(path, '^/proj/src1[0-9]/') AND NOT regexp_matches(path, '\\.fr$')")
+def filter_ignore_glob(t, spark):
+    return keep_files(t("doc_files"), root="/proj", ignore=["src1?/", "*.fr"]).select("path")
+
+
+@query("SELECT path, size FROM {doc_files} WHERE size <= 4096")
+def filter_max_size(t, spark):
+    return keep_files(t("doc_files"), root="/proj", max_size=4096).select("path", "size")
+
+
+@query("SELECT node_id, CASE node_id % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'rust' WHEN 2 THEN 'cpp' END AS language FROM {sym}")
+def detect_language(t, spark):
+    path = F.concat("path", F.lit("."), F.get(F.array(*[F.lit(x) for x in ("ts", "rs", "hpp", "txt")]), (F.col("node_id") % 4).cast("int")))
+    return t("sym").select("node_id", X.language_of(path).alias("language"))
+
+
+@query("SELECT node_id, kind, name, qualified_name, path, is_exported, complexity, line_start, line_end FROM {sym}")
+def scan_nodes(t, spark):
+    return t("sym").select("node_id", "kind", "name", "qualified_name", "path", "is_exported", "complexity", "line_start", "line_end").orderBy("path", "line_start")
+
+
+@query("SELECT source_id, target_id, edge_type, round(confidence, 6) AS confidence FROM {edg}")
+def scan_edges(t, spark):
+    return t("edg").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT node_id, qualified_name, path FROM {sym} WHERE path <> '/proj/small/Brand_11.ts'")
+def registry_scan(t, spark):
+    return t("sym").where(F.col("path") != "/proj/small/Brand_11.ts").select("node_id", "qualified_name", "path")
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS module FROM {pages}")
+def extract_imports(t, spark):
+    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("module"))
+
+
+@query("SELECT doc_id, CAST(1 + len(regexp_extract_all(text, 'tion|\\bthe\\b|\\bde\\b')) AS INT) AS complexity FROM {documents}")
+def branch_count(t, spark):
+    return t("documents").select("doc_id", X.branch_count(F.col("text"), r"tion|\bthe\b|\bde\b").alias("complexity"))
+
+
+@query("SELECT doc_id, md5(text) AS content_hash FROM {documents}")
+def content_hash(t, spark):
+    return t("documents").select("doc_id", F.md5("text").alias("content_hash"))
+
+
+# --- sinks and mutations ---------------------------------------------------------------------------------
+
+
+@query("SELECT file_id, path, CASE WHEN file_id % 3 = 0 THEN md5(content || 'x') ELSE content_hash END AS content_hash FROM {doc_files} UNION ALL SELECT file_id + 1000000, path || '.new', content_hash FROM {doc_files} WHERE file_id % 5 = 0")
+def upsert_files(t, spark):
+    old = t("doc_files").select("file_id", "path", "content_hash")
+    changed = t("doc_files").where("file_id % 3 = 0").select((F.col("file_id") + 500000).alias("file_id"), "path", F.md5(F.concat("content", F.lit("x"))).alias("content_hash"))
+    added = t("doc_files").where("file_id % 5 = 0").select((F.col("file_id") + 1000000).alias("file_id"), F.concat("path", F.lit(".new")).alias("path"), "content_hash")
+    return R.upsert(old, changed.unionByName(added), "path", "file_id")
+
+
+@query("SELECT source_id, target_id, edge_type, path, line, round(max(confidence), 6) AS confidence FROM {nullable} WHERE target_id IS NOT NULL GROUP BY source_id, target_id, edge_type, path, line UNION ALL SELECT source_id, target_id, edge_type, path, line, round(confidence, 6) FROM {nullable} WHERE target_id IS NULL")
+def dedup_edges(t, spark):
+    return R.dedup_edges(t("nullable")).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("WITH gone AS (SELECT node_id FROM {sym} WHERE path LIKE '/proj/small/%') SELECT source_id, CASE WHEN target_id IN (SELECT node_id FROM gone) THEN NULL ELSE target_id END AS target_id, round(confidence, 6) AS confidence FROM {edg} WHERE source_id NOT IN (SELECT node_id FROM gone)")
+def delete_cascade(t, spark):
+    files = t("sym").where("path like '/proj/small/%'").select("path", F.lit(0).cast("long").alias("file_id")).distinct()
+    imports = t("imp").select(F.col("file_id").alias("importer_file_id"), F.col("needs").alias("imported_file_id"))
+    edges = R.delete_cascade(t("sym"), t("edg"), imports, files)[1]
+    return edges.select("source_id", "target_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT DISTINCT file_id AS importer_file_id, needs AS imported_file_id FROM {imp}")
+def import_edges(t, spark):
+    return t("imp").select(F.col("file_id").alias("importer_file_id"), F.col("needs").alias("imported_file_id")).distinct()
+
+
+TOKENS = "lower(regexp_replace(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ', 'g'))"
+POSTINGS = f"SELECT node_id, len(t) AS length, unnest(t) AS token FROM (SELECT node_id, list_filter(string_split_regex(concat({TOKENS}, ' ', lower(qualified_name)), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM {{sym}})"
+
+
+@query(f"SELECT node_id, token, CAST(length AS INT) AS length, count(*) AS tf FROM ({POSTINGS}) GROUP BY node_id, token, length")
+def fts_postings(t, spark):
+    return S.postings(t("sym"))
+
+
+# --- lookups ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT file_id, path, content_hash FROM {doc_files} WHERE path = '/proj/src7/7.en'")
+def lookup_file(t, spark):
+    return t("doc_files").where(F.col("path") == "/proj/src7/7.en").select("file_id", "path", "content_hash")
+
+
+@query("SELECT node_id, kind, name FROM {sym} WHERE node_id = 42")
+def lookup_node(t, spark):
+    return t("sym").where("node_id = 42").select("node_id", "kind", "name")
+
+
+@query("SELECT node_id, name, path, line_start FROM {sym} WHERE name = (SELECT min(name) FROM {sym})")
+def nodes_by_name(t, spark):
+    least = t("sym").agg(F.min("name").alias("name"))
+    return t("sym").join(F.broadcast(least), "name", "left_semi").select("node_id", "name", "path", "line_start").orderBy("path", "line_start")
+
+
+@query("SELECT node_id, qualified_name FROM {sym} WHERE qualified_name = (SELECT min(qualified_name) FROM {sym}) ORDER BY line_start DESC LIMIT 1")
+def lookup_qualified(t, spark):
+    least = t("sym").agg(F.min("qualified_name").alias("qualified_name"))
+    return t("sym").join(F.broadcast(least), "qualified_name", "left_semi").orderBy(F.desc("line_start")).limit(1).select("node_id", "qualified_name")
+
+
+@query("SELECT node_id, kind, name, line_start, line_end FROM {sym} WHERE path = (SELECT min(path) FROM {sym})")
+def file_outline(t, spark):
+    least = t("sym").agg(F.min("path").alias("path"))
+    return t("sym").join(F.broadcast(least), "path", "left_semi").select("node_id", "kind", "name", "line_start", "line_end").orderBy("line_start")
+
+
+@query("SELECT target_id, edge_type, line, round(confidence, 6) AS confidence FROM {nullable} WHERE source_id = 42")
+def edges_out(t, spark):
+    return t("nullable").where("source_id = 42").select("target_id", "edge_type", "line", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT source_id, edge_type, line, round(confidence, 6) AS confidence FROM {multi} WHERE target_id = 42")
+def edges_in(t, spark):
+    return t("multi").where("target_id = 42").select("source_id", "edge_type", "line", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT file_id FROM {imp} WHERE needs % 1000 = 7")
+def reverse_deps(t, spark):
+    return t("imp").where("needs % 1000 = 7").select("file_id")
+
+
+@query("SELECT e.source_id, s.qualified_name FROM {edg} e JOIN {sym} s ON s.node_id = e.source_id WHERE e.target_id = 42")
+def callers_direct(t, spark):
+    return t("edg").where("target_id = 42").join(t("sym"), F.col("source_id") == F.col("node_id")).select("source_id", "qualified_name")
+
+
+@query("SELECT e.target_id, s.qualified_name FROM {edg} e JOIN {sym} s ON s.node_id = e.target_id WHERE e.source_id = 42")
+def callees_direct(t, spark):
+    return t("edg").where("source_id = 42").join(t("sym"), F.col("target_id") == F.col("node_id")).select("target_id", "qualified_name")
+
+
+@query("SELECT source_id, target_id, line FROM {multi} WHERE lower(edge_type) = 'calls' AND target_id IS NOT NULL")
+def resolved_edges(t, spark):
+    return t("multi").where("lower(edge_type) = 'calls' and target_id is not null").select("source_id", "target_id", "line")
+
+
+@query("SELECT node_id, CASE WHEN node_id % 2 = 0 THEN qualified_name ELSE concat('/proj/', name) END AS resolved FROM {sym}")
+def resolve_qname(t, spark):
+    given = F.when(F.col("node_id") % 2 == 0, F.col("qualified_name")).otherwise(F.col("name"))
+    return t("sym").select("node_id", X.resolve_qname(given, "/proj").alias("resolved"))
+
+
+@query("SELECT node_id, qualified_name FROM {sym} WHERE kind IN ('function', 'method') AND NOT is_exported AND node_id NOT IN (SELECT target_id FROM {sparse}) AND name NOT IN ('main', 'initialize', 'default', 'from', 'into', 'try_into') AND NOT regexp_matches(name, '^(test_|Test|__|default_|bench_)') AND NOT ends_with(name, '_test')")
+def dead_code(t, spark):
+    return G.dead_code(t("sym"), t("sparse")).select("node_id", "qualified_name")
+
+
+@query("SELECT node_id, path, line_start FROM {sym} WHERE name = 'main' OR (is_exported AND kind = 'function' AND NOT regexp_matches(name, '^(test_|bench_)')) ORDER BY path, line_start, node_id LIMIT 20")
+def entry_points(t, spark):
+    return R.entry_points(t("sym")).select("node_id", "path", "line_start")
+
+
+@query("SELECT path FROM {doc_files} WHERE ends_with(path, '.en')")
+def glob_suffix_filter(t, spark):
+    return t("doc_files").where(F.col("path").endswith(X.glob_suffix("src/**/*.en"))).select("path")
+
+
+# --- references and search ---------------------------------------------------------------------------------
+
+
+@query("SELECT m.source_id, s.qualified_name AS caller, s.path AS file, m.line, round(m.confidence, 6) AS confidence FROM {multi} m JOIN {sym} s ON s.node_id = m.source_id WHERE m.target_id = 77")
+def find_references(t, spark):
+    return R.find_references(t("multi").drop("path"), t("sym"), 77).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT n.line, n.target_id, coalesce(s.qualified_name, 'unresolved') AS definition, round(n.confidence, 6) AS confidence FROM {nullable} n LEFT JOIN {sym} s ON s.node_id = n.target_id WHERE n.source_id = 77")
+def find_definition(t, spark):
+    return R.find_definition(t("nullable"), t("sym"), 77).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT path, CAST(i AS INT) AS line_no, trim(l[i]) AS line, CAST(NULL AS STRING) AS symbol FROM (SELECT path, string_split(content, chr(10)) AS l FROM {doc_files}), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE regexp_matches(l[i], '[0-9][0-9][0-9]')")
+def search_code(t, spark):
+    return S.search_code(t("doc_files"), "[0-9][0-9][0-9]", limit=None)
+
+
+@query("SELECT p AS line_no, x.path, min_by(s.name, CAST(s.line_start AS BIGINT) * 100000000 + s.node_id) AS symbol FROM (SELECT path, CAST(line_start + 3 AS INT) AS p FROM {sym} WHERE node_id % 3 = 0) x JOIN {sym} s ON s.path = x.path AND x.p BETWEEN s.line_start AND s.line_end GROUP BY p, x.path")
+def enclosing_symbol(t, spark):
+    points = t("sym").where("node_id % 3 = 0").select("path", (F.col("line_start") + 3).cast("int").alias("line_no"))
+    s = t("sym").select(F.col("path").alias("_p"), "name", "line_start", "line_end", "node_id")
+    met = points.join(s, (points["path"] == s["_p"]) & points["line_no"].between(F.col("line_start"), F.col("line_end")))
+    return met.groupBy("line_no", "path").agg(F.min_by("name", F.struct("line_start", "node_id")).alias("symbol"))
+
+
+def bm25_sql(terms: list[str]) -> str:
+    ctes = [f"p AS (SELECT node_id, token, length, count(*) AS tf FROM ({POSTINGS}) GROUP BY node_id, token, length)", "st AS (SELECT (SELECT count(*) FROM {sym}) AS docs, (SELECT avg(length) FROM (SELECT DISTINCT node_id, length FROM p)) AS mean)"]
+    for k, term in enumerate(terms):
+        test = f"starts_with(token, '{term}')" if k == len(terms) - 1 else f"token = '{term}'"
+        ctes.append(f"h{k} AS (SELECT node_id, length, sum(tf) AS tf FROM p WHERE {test} GROUP BY node_id, length)")
+        ctes.append(f"s{k} AS (SELECT node_id, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS s FROM h{k}, st, (SELECT count(*) AS df FROM h{k}) d)")
+    total = " + ".join(f"s{k}.s" for k in range(len(terms)))
+    joins = " ".join(f"JOIN s{k} USING (node_id)" for k in range(1, len(terms)))
+    return f"WITH {', '.join(ctes)} SELECT node_id, round({total}, 6) AS score, n.name FROM s0 {joins} JOIN {{sym}} n USING (node_id) ORDER BY score DESC, n.is_exported DESC, node_id LIMIT 20"
+
+
+@query(bm25_sql(["small", "bra"]))
+def symbol_search(t, spark):
+    return S.symbol_search(t("sym"), "small bra").select("node_id", "score", "name")
+
+
+@query("SELECT node_id, name FROM {sym} WHERE contains(lower(name), 'a') ORDER BY is_exported DESC, name, node_id LIMIT 20")
+def symbol_like(t, spark):
+    return S.symbol_like(t("sym"), "A").select("node_id", "name")
+
+
+@query("SELECT node_id, " + TOKENS.replace("name,", "concat(name, 'HTTPRequest_getUserID'),", 1) + " AS tokens FROM {sym}")
+def tokenize(t, spark):
+    return t("sym").select("node_id", X.tokenize(F.concat("name", F.lit("HTTPRequest_getUserID"))).alias("tokens"))
+
+
+# --- aggregations --------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'files' AS metric, count(*) AS value FROM {doc_files} UNION ALL SELECT 'nodes', count(*) FROM {sym} UNION ALL SELECT 'edges', count(*) FROM {edg} UNION ALL SELECT 'import_edges', count(*) FROM {imp}")
+def index_status(t, spark):
+    return R.index_status(t("doc_files"), t("sym"), t("edg"), t("imp"))
+
+
+@query("SELECT language, count(*) AS n_files FROM {doc_files} GROUP BY language")
+def language_distribution(t, spark):
+    return t("doc_files").groupBy("language").agg(F.count("*").alias("n_files")).orderBy(F.desc("n_files"), "language")
+
+
+@query("SELECT s.node_id, s.qualified_name, coalesce(i.n, 0) AS callers, coalesce(o.n, 0) AS callees FROM {sym} s LEFT JOIN (SELECT target_id, count(*) AS n FROM {multi} GROUP BY target_id) i ON i.target_id = s.node_id LEFT JOIN (SELECT source_id, count(*) AS n FROM {multi} GROUP BY source_id) o ON o.source_id = s.node_id")
+def symbol_degree(t, spark):
+    return R.degrees(t("sym"), t("multi"))
+
+
+@query("SELECT target_id AS node_id, count(*) AS callers FROM {multi} GROUP BY target_id ORDER BY callers DESC, node_id LIMIT 10")
+def hubs(t, spark):
+    return R.hubs(t("multi"))
+
+
+@query("SELECT regexp_extract(path, '^/proj/([^/]+)/', 1) AS folder, count(DISTINCT path) AS files FROM {sym} GROUP BY 1")
+def module_structure(t, spark):
+    return R.module_structure(t("sym"), "/proj")
+
+
+@query("SELECT (SELECT count(*) FROM {sym}) AS nodes, (SELECT count(*) FROM {multi} WHERE lower(edge_type) = 'calls') AS edges")
+def graph_counts(t, spark):
+    known = t("multi").where("lower(edge_type) = 'calls'")
+    both = t("sym").select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(known.select(F.lit(0).alias("n"), F.lit(1).alias("e")))
+    return both.agg(F.sum("n").alias("nodes"), F.sum("e").alias("edges"))
+
+
+RESOLVED = """WITH r AS (SELECT c.site, c.path, c.callee, CASE WHEN q.qualified_name IS NOT NULL THEN 'ImportMap' WHEN f.qualified_name IS NOT NULL THEN 'SameFile' WHEN u.qualified_name IS NOT NULL THEN 'GlobalUnique' ELSE 'Unresolved' END AS strategy,
+  coalesce(q.qualified_name, f.qualified_name, u.qualified_name) AS target_qualified FROM {callsite} c
+  LEFT JOIN {impmap} m ON m.path = c.path AND m.local_name = c.callee
+  LEFT JOIN (SELECT DISTINCT qualified_name FROM {registry}) q ON q.qualified_name = concat(m.module_path, '.', c.callee)
+  LEFT JOIN (SELECT path, name, min(qualified_name) AS qualified_name FROM {registry} GROUP BY path, name) f ON f.path = c.path AND f.name = c.callee
+  LEFT JOIN (SELECT name, min(qualified_name) AS qualified_name FROM {registry} GROUP BY name HAVING count(DISTINCT qualified_name) = 1) u ON u.name = c.callee)"""
+
+
+def resolved(t):
+    return V.resolve_calls(t("callsite").select("site", "path", "callee"), t("impmap"), t("registry"))
+
+
+@query(RESOLVED + " SELECT site, path, callee, target_qualified, strategy, CASE strategy WHEN 'ImportMap' THEN 0.95 WHEN 'SameFile' THEN 0.85 WHEN 'GlobalUnique' THEN 0.9 ELSE 0 END::DOUBLE AS confidence FROM r")
+def resolve_calls(t, spark):
+    return resolved(t).select("site", "path", "callee", "target_qualified", "strategy", "confidence")
+
+
+@query(RESOLVED + " SELECT strategy, count(*) AS n FROM r GROUP BY strategy")
+def resolution_strategies(t, spark):
+    return resolved(t).groupBy("strategy").agg(F.count("*").alias("n"))
+
+
+@query(RESOLVED + " SELECT count(*) AS calls, count(*) FILTER (strategy <> 'Unresolved') AS resolved, count(*) FILTER (strategy = 'Unresolved') AS unresolved FROM r")
+def resolution_totals(t, spark):
+    return resolved(t).agg(F.count("*").alias("calls"), F.count_if(F.col("strategy") != "Unresolved").alias("resolved"), F.count_if(F.col("strategy") == "Unresolved").alias("unresolved"))
+
+
+@query("SELECT name, min(qualified_name) AS qualified_name FROM {sym} GROUP BY name HAVING count(*) = 1")
+def global_unique(t, spark):
+    return V.unique_names(t("sym"))
+
+
+@query("SELECT qualified_name, max(node_id) AS node_id FROM {sym} GROUP BY qualified_name")
+def registry_latest(t, spark):
+    return V.latest(t("sym")).select("qualified_name", "node_id")
+
+
+@query("SELECT site, CASE WHEN site % 3 = 0 THEN module || '.x' WHEN site % 3 = 1 THEN module END AS prefix, callee AS suffix, site % 3 = 1 AS rust FROM {callsite}")
+def split_callee(t, spark):
+    text = F.when(F.col("site") % 3 == 0, F.concat("module", F.lit(".x."), "callee")).when(F.col("site") % 3 == 1, F.concat("module", F.lit("::"), "callee")).otherwise(F.col("callee"))
+    return t("callsite").select("site", X.split_callee(text).alias("s")).select("site", "s.prefix", "s.suffix", "s.rust")
+
+
+# --- graph -------------------------------------------------------------------------------------------------
+
+
+@query(levels_sql([42], 3, True) + " SELECT node_id, depth, round(confidence, 6) AS confidence, round(confidence / depth, 6) AS risk FROM reached")
+def impact_radius(t, spark):
+    out = G.impact_radius(t("edg"), seeds(spark, 42), 3)
+    return out.select("node_id", "depth", F.round("confidence", 6).alias("confidence"), F.round("risk", 6).alias("risk"))
+
+
+@query(levels_sql([42], 3, True) + " SELECT depth, count(*) AS n_nodes, round(max(confidence / depth), 6) AS max_risk FROM reached GROUP BY depth")
+def impact_by_depth(t, spark):
+    return G.impact_by_depth(G.impact_radius(t("edg"), seeds(spark, 42), 3)).withColumn("max_risk", F.round("max_risk", 6))
+
+
+@query(levels_sql([42], 3, False) + " SELECT node_id, depth, round(confidence, 6) AS confidence FROM reached")
+def forward_reachable(t, spark):
+    return G.reach(t("edg"), seeds(spark, 42), 3).select("node_id", "depth", F.round("confidence", 6).alias("confidence"))
+
+
+@query(levels_sql([77], 2, True) + " SELECT node_id, depth, round(confidence, 6) AS confidence FROM reached")
+def reverse_reachable(t, spark):
+    return G.reach(t("edg"), seeds(spark, 77), 2, reverse=True).select("node_id", "depth", F.round("confidence", 6).alias("confidence"))
+
+
+@query(levels_sql([7], 2, True) + " SELECT r.node_id, s.qualified_name, r.depth FROM reached r JOIN {sym} s USING (node_id)")
+def callers_transitive(t, spark):
+    return G.reach(t("edg"), seeds(spark, 7), 2, reverse=True).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
+
+
+@query(levels_sql([7], 2, False) + " SELECT r.node_id, s.qualified_name, r.depth FROM reached r JOIN {sym} s USING (node_id)")
+def callees_transitive(t, spark):
+    return G.reach(t("edg"), seeds(spark, 7), 2).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
+
+
+@query(levels_sql([42], 4, False) + " SELECT CAST(coalesce(min(depth), -1) AS INT) AS hops FROM reached WHERE node_id = 77")
+def call_path(t, spark):
+    return G.call_path(t("edg"), 42, 77, 4).agg(F.coalesce(F.max("hop"), F.lit(-1)).alias("hops"))
+
+
+@query("SELECT a, b, round(max(w), 6) AS weight FROM (SELECT source_id AS a, target_id AS b, greatest(confidence, 0) AS w FROM {edg} UNION ALL SELECT target_id, source_id, greatest(confidence, 0) FROM {edg}) s GROUP BY a, b")
+def sym_adjacency(t, spark):
+    return C.symmetrised(t("edg")).withColumn("weight", F.round("weight", 6))
+
+
+ADJ = "WITH adj AS (SELECT a, b, max(w) AS w FROM (SELECT source_id AS a, target_id AS b, confidence AS w FROM {edg} UNION ALL SELECT target_id, source_id, confidence FROM {edg}) s GROUP BY a, b), lab AS (SELECT adj.*, x.module AS ca, y.module AS cb FROM adj JOIN {sym} x ON x.node_id = a JOIN {sym} y ON y.node_id = b)"
+
+
+def labels(t):
+    return t("sym").select("node_id", F.col("module").alias("community"))
+
+
+@query(ADJ + " SELECT ca AS a, cb AS b, round(sum(w), 6) AS weight FROM lab GROUP BY ca, cb")
+def community_contract(t, spark):
+    return C.contract(C.symmetrised(t("edg")), labels(t)).withColumn("weight", F.round("weight", 6))
+
+
+@query(ADJ + ", per AS (SELECT ca, sum(CASE WHEN ca = cb THEN w ELSE 0 END) AS inside, sum(w) AS total FROM lab GROUP BY ca) SELECT round(sum(inside) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 6) AS modularity FROM per")
+def modularity(t, spark):
+    return C.modularity(C.symmetrised(t("edg")), labels(t)).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query(ADJ + ", deg AS (SELECT s.node_id, s.module, round(coalesce(sum(w), 0), 6) AS d FROM {sym} s LEFT JOIN adj ON a = s.node_id GROUP BY s.node_id, s.module), rep AS (SELECT module, node_id FROM deg QUALIFY row_number() OVER (PARTITION BY module ORDER BY d DESC, node_id) = 1) SELECT deg.module AS community, count(*) AS n_members, min(rep.node_id) AS representative, round(min(i.inside), 4) AS internal, round(min(i.outside), 4) AS external FROM deg JOIN rep USING (module) JOIN (SELECT ca, sum(CASE WHEN ca = cb THEN w ELSE 0 END) / 2 AS inside, sum(CASE WHEN ca <> cb THEN w ELSE 0 END) AS outside FROM lab GROUP BY ca) i ON i.ca = deg.module GROUP BY deg.module")
+def community_summary(t, spark):
+    out = C.summary(C.symmetrised(t("edg")), labels(t))
+    return out.select("community", "n_members", "representative", F.round("internal", 4).alias("internal"), F.round("external", 4).alias("external"))
+
+
+@query()
+def communities(t, spark):
+    return C.detect(t("sym"), t("sparse"))
+
+
+@query("SELECT o_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS level FROM {orders}")
+def topo_levels(t, spark):
+    return G.topo_levels(t("imp"), t("orders").select(F.col("o_orderkey").alias("file_id")))
+
+
+@query("SELECT i.file_id, i.needs FROM {imp} i WHERE i.needs % 2 = 0 AND i.file_id % 2 = 0")
+def import_deps(t, spark):
+    files = t("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("file_id"))
+    inside = t("imp").join(files, "file_id", "left_semi")
+    return inside.join(files.withColumnRenamed("file_id", "needs"), "needs", "left_semi").select("file_id", "needs")
+
+
+@query("SELECT o_orderkey AS file_id FROM (SELECT o_orderkey, max(o_orderkey % 100 = 3) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS hit FROM {orders}) s WHERE hit")
+def changed_closure(t, spark):
+    edges = t("imp").select(F.col("file_id").alias("importer_file_id"), F.col("needs").alias("imported_file_id"))
+    return G.closure(edges, t("orders").where("o_orderkey % 100 = 3").select(F.col("o_orderkey").alias("file_id")))
+
+
+CHANGED = "SELECT node_id FROM {sym} WHERE path IN (SELECT path FROM {sym} WHERE node_id IN (5, 42))"
+
+
+def git_sql() -> str:
+    out = levels_sql([0], 3, True)
+    return out.replace("FROM (VALUES (0)) v(i)", f"FROM ({CHANGED}) v(i)") + f" SELECT s.node_id, s.qualified_name, count(r.node_id) AS impacted, CASE WHEN count(r.node_id) > 20 THEN 'HIGH' WHEN count(r.node_id) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM {{sym}} s LEFT JOIN reached r ON r.seed = s.node_id WHERE s.node_id IN ({CHANGED}) GROUP BY s.node_id, s.qualified_name"
+
+
+@query(git_sql())
+def git_impact(t, spark):
+    paths = t("sym").where("node_id in (5, 42)").select("path")
+    return G.change_impact(t("sym"), t("edg"), paths, 3)
+
+
+@query("SELECT 'folder' AS part, regexp_extract(path, '^/proj/([^/]+)/', 1) AS item, count(DISTINCT path) AS value FROM {sym} GROUP BY 2 UNION ALL SELECT 'hub', CAST(target_id AS STRING), n FROM (SELECT target_id, count(*) AS n FROM {multi} GROUP BY target_id ORDER BY n DESC, target_id LIMIT 10) h UNION ALL SELECT 'language', language, count(*) FROM {doc_files} GROUP BY language")
+def architecture(t, spark):
+    folders = R.module_structure(t("sym"), "/proj").select(F.lit("folder").alias("part"), F.col("folder").alias("item"), F.col("files").alias("value"))
+    top = R.hubs(t("multi")).select(F.lit("hub").alias("part"), F.col("node_id").cast("string").alias("item"), F.col("callers").alias("value"))
+    langs = t("doc_files").groupBy("language").agg(F.count("*").alias("value")).select(F.lit("language").alias("part"), F.col("language").alias("item"), "value")
+    return folders.unionByName(top).unionByName(langs)
+
+
+# --- changes -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT path, count(*) AS n_events, count(*) FILTER (kind = 'remove') AS n_removed FROM {changes} GROUP BY path")
+def change_stream(t, spark):
+    return H.stream_counts(t("changes"))
+
+
+@query("WITH g AS (SELECT path, ts, kind, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM {changes} WINDOW w AS (PARTITION BY path ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT path, epoch_us(min(ts)) AS started, count(*) AS n_events, bool_or(kind = 'remove') AS removed FROM s GROUP BY path, k")
+def change_sessions(t, spark):
+    return H.sessions(t("changes"), "6 hours").select("path", F.unix_micros(F.col("started").cast("timestamp")).alias("started"), "n_events", "removed")
+
+
+@query("SELECT event_id, path, content_hash FROM (SELECT *, lag(content_hash) OVER (PARTITION BY path ORDER BY ts, event_id) AS before FROM {changes}) s WHERE before IS NULL OR before <> content_hash")
+def hash_dedup(t, spark):
+    return H.dedup(t("changes")).select("event_id", "path", "content_hash")
+
+
+@query("SELECT event_id, path, kind FROM {changes} WHERE kind <> 'remove' OR path IN (SELECT path FROM {changes} WHERE kind = 'create')")
+def change_filter(t, spark):
+    indexed = t("changes").where("kind = 'create'").select("path").distinct()
+    return H.keep_known(t("changes"), indexed).select("event_id", "path", "kind")
+
+
+@query("SELECT path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS r FROM {changes}) s WHERE r = 1 AND kind <> 'remove'")
+def apply_changes(t, spark):
+    return H.current(t("changes")).select("path", "content_hash")
