@@ -72,13 +72,14 @@ def detect(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 2)
     places for ever. The labels are those of a smallest member.
     """
     adjacency = cut(symmetrised(edges))
-    labels = cut(nodes.select("node_id", F.col("node_id").alias("community")).distinct())
+    labels = cut(nodes.groupBy("node_id").agg(F.max("node_id").alias("community")))
     m2 = adjacency.agg(F.sum("weight")).first()[0]
     if not m2:
         return labels
     graph, mapping = adjacency, labels
     for _ in range(levels):
-        inner = cut(graph.select(F.col("a").alias("node_id")).distinct().withColumn("community", F.col("node_id")))
+        # Grouping instead of a copied column: equal columns make the optimizer infer ever more constraints.
+        inner = cut(graph.groupBy(F.col("a").alias("node_id")).agg(F.max("a").alias("community")))
         before = inner
         for k in range(2 * rounds):
             inner = cut(_moves(graph, inner, m2, k % 2))

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names, or in one of this machine where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/codeloom")
-    return df.checkpoint()
+    """``df`` written as Parquet to the folder that the session names for checkpoints, and read back.
+
+    The files outlive executors. Unlike a checkpointed plan, the new one has no constraints of the old one, which over
+    many iterations make the optimizer infer ever more of them; and its size is known, so that small sides are broadcast.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "/tmp/checkpoints/codeloom"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
