@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.shared import running_totals
+from codeloom.llm.shared import give_back, running_totals
 
 #: Sources that weights can be given for; they are listed on the driver.
 MOST_SOURCES = 10_000
+#: Slots that share a row of the table of rows ahead.
+SLOT_RANGE = 4096
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -74,18 +76,12 @@ def tempered(counts: dict[str, int], power: float = 0.5, scale: int = 64) -> dic
     return {s: max(1, round(scale * (n / most) ** power)) for s, n in counts.items()}
 
 
-def interleave(docs: DataFrame, weights: dict[str, int] | None = None, *, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_rows: int = 16, bits: int = 10) -> DataFrame:
-    """``docs`` with mix_block (number of the block in its source), mix_slot and mix_position (gapless from 0).
-
-    ``weights``: integers of the sources; those not named, or all without the argument, follow the square root of
-    their sizes. Null is a source of its own. Which rows share a block follows from a hash of id and text;
-    rows that repeat may swap places. The order of the mix is that of mix_position.
-    """
-    new = ("mix_block", "mix_slot", "mix_position")
-    own = [c for c in docs.columns if c not in new]
+def schedule(rows: DataFrame, weights: dict[str, int] | None = None, *, block_rows: int = 16, bits: int = 10) -> DataFrame:
+    """``rows`` (source, _order, ...) with mix_block, mix_slot and mix_position; nothing here needs the texts."""
+    own = rows.columns
     # Null and text sources get distinct names.
-    name = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string")))
-    rows = docs.select(*[f"`{c}`" for c in own], name.alias("_source"), F.xxhash64(id_col, text_col).alias("_order"))
+    name = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
+    rows = rows.withColumn("_source", name)
     counts = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -93,21 +89,32 @@ def interleave(docs: DataFrame, weights: dict[str, int] | None = None, *, source
     chosen = tempered(counts) | {s: w for s, w in given.items() if s in counts}
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, chosen) if counts else []
     kind = "array<struct<source:string,lo:bigint,hi:bigint,c:int,total:bigint,slot0:bigint,slots:array<int>>>"
-    table = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), kind)).alias("p")).select("p.*")
-    table = table.groupBy("source").agg(F.collect_list(F.struct("lo", "hi", "c", "total", "slot0", "slots")).alias("phases"))
+    table = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), kind)).alias("p")).select("p.*")
+    table = table.groupBy(F.col("source").alias("_s")).agg(F.collect_list(F.struct("lo", "hi", "c", "total", "slot0", "slots")).alias("phases"))
     placed = running_totals(rows, ["_source"], "_order", {"row": F.lit(1)}, bits).withColumn("mix_block", F.expr(f"row_before div {block_rows}"))
     # The plan's size follows from the number of sources and the scale of the weights, not from the rows.
-    met = placed.join(F.broadcast(table), placed["_source"] == table["source"], "left")
+    met = placed.join(F.broadcast(table), placed["_source"] == table["_s"], "left")
     met = met.withColumn("_p", F.expr("filter(phases, p -> p.lo <= mix_block and mix_block < p.hi)[0]")).withColumn("_i", F.col("mix_block") - F.col("_p.lo"))
     slot = F.expr("_p.slot0 + (_i div _p.c) * _p.total + _p.slots[cast(_i % _p.c as int)]")
-    met = met.withColumn("mix_slot", slot).select(*[placed[c] for c in own], "_order", "row_before", "mix_block", "mix_slot")
-    # Rows ahead: those of earlier slots, from a table with a row for each slot range, and those of the block.
-    span = 4096
-    per_slot = met.groupBy("mix_slot").agg(F.count("*").alias("n"))
-    ranged = per_slot.withColumn("_range", F.expr(f"mix_slot div {span}"))
+    met = met.withColumn("mix_slot", slot).select(*own, "row_before", "mix_block", "mix_slot")
+    # Rows ahead: those of earlier slots, by a table with a row for each range of slots, and those of the block.
+    ranged = met.groupBy("mix_slot").agg(F.count("*").alias("n")).withColumn("_range", F.expr(f"mix_slot div {SLOT_RANGE}"))
     sums = ranged.groupBy("_range").agg(F.sum("n").alias("here"))
     ahead = sums.select("_range", (F.sum("here").over(Window.orderBy("_range")) - F.col("here")).alias("far"))
     near = F.sum("n").over(Window.partitionBy("_range").orderBy("mix_slot")) - F.col("n")
     starts = ranged.withColumn("near", near).join(ahead, "_range").select(F.col("mix_slot").alias("_slot"), (F.col("far") + F.col("near")).alias("start"))
     out = met.join(starts, F.col("mix_slot") == F.col("_slot"))
-    return out.select(*[f"`{c}`" for c in own], "mix_block", "mix_slot", (F.col("start") + F.col("row_before") % block_rows).cast("long").alias("mix_position"))
+    return out.select(*own, "mix_block", "mix_slot", (F.col("start") + F.col("row_before") % block_rows).cast("long").alias("mix_position"))
+
+
+def interleave(docs: DataFrame, weights: dict[str, int] | None = None, *, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_rows: int = 16, bits: int = 10) -> DataFrame:
+    """``docs`` with mix_block (number of the block in its source), mix_slot and mix_position (gapless from 0).
+
+    ``weights``: integers of the sources; those not named, or all without the argument, follow the square root of
+    their sizes. Null is a source of its own. Which rows share a block follows from a hash of id and text;
+    rows that repeat may swap places. The order of the mix is that of mix_position. Columns of ``docs`` named like a new
+    one give way to it.
+    """
+    order = F.xxhash64(id_col, text_col)
+    rows = docs.select(F.col(source_col).alias("source"), order.alias("_order"))
+    return give_back(docs, order, schedule(rows, weights, block_rows=block_rows, bits=bits), ["mix_block", "mix_slot", "mix_position"])

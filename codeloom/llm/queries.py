@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from codeloom.llm import license_scan, oracles, quality_cnn, toxicity
 from codeloom.llm.decontaminate import benchmark_hits
 from codeloom.llm.jaccard_join import JaccardJoin
-from codeloom.llm.pfair import interleave
+from codeloom.llm.pfair import schedule
 from codeloom.llm.quality_rules import judge
-from codeloom.llm.resharding import reshard
+from codeloom.llm.resharding import byte_size, old_number, order_of, place
 from codeloom.llm.secret_scan import scan
 from codeloom.llm.shared import table
 from codeloom.llm.url_filter import CONTRACT_RULES, PATTERN_RULES, judge_urls
@@ -60,14 +60,14 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = reshard(docs, old_shard(), SHARDS)
-    return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), old_number(old_shard()).alias("old_shard"), order_of().alias("_order"))
+    return place(rows, SHARDS).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return interleave(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", order_of().alias("_order"))
+    return schedule(rows).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.flow import even, transfers
-from codeloom.llm.shared import running_totals
+from codeloom.llm.shared import give_back, running_totals
 
 #: Old shards that one flow is solved for; more are merged by hash first.
 MOST_SHARDS = 1024
@@ -26,16 +26,13 @@ def byte_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
-def reshard(docs: DataFrame, old: Column, shards: int, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 10) -> DataFrame:
-    """``docs`` with size, old_shard, shard (0 to shards - 1), slot (gapless from 0) and moved.
+def order_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The hash that orders rows within a shard."""
+    return F.xxhash64(id_col, text_col)
 
-    ``old`` is the shard a row is in now, an integer from 0; null counts as 0. New
-    shards 0 .. keep what they can of the old shards of the same number. Each shard's bytes
-    are within a few rows of an equal share. Rows that repeat are rows of their own. ``bits``:
-    each old shard is cut into 2**bits blocks. An empty table gives an empty result.
-    """
-    own = [c for c in docs.columns if c not in ("size", "old_shard", "shard", "slot", "moved")]
-    rows = docs.select(*[f"`{c}`" for c in own], byte_size(F.col(text_col)).alias("size"), F.pmod(F.coalesce(old.cast("long"), F.lit(0)), F.lit(MOST_SHARDS)).cast("int").alias("old_shard"), F.xxhash64(id_col, text_col).alias("_order"))
+
+def place(rows: DataFrame, shards: int, bits: int = 10) -> DataFrame:
+    """``rows`` (size, old_shard, _order, ...) with shard, slot and moved; nothing here needs the texts."""
     sizes = {r["old_shard"]: r["b"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}
     n = max([*sizes, shards - 1]) + 1
     moves = transfers([sizes.get(i, 0) for i in range(n)], even(sum(sizes.values()), shards))
@@ -44,14 +41,33 @@ def reshard(docs: DataFrame, old: Column, shards: int, *, id_col: str = "doc_id"
         cuts.append({"i": i, "lo": at[i], "hi": at[i] + moves[i, j], "j": j})
         at[i] += moves[i, j]
     # One row for each arc with flow: fewer than old and new shards together, for a basic solution.
-    plan = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(cuts)), "array<struct<i:int,lo:bigint,hi:bigint,j:int>>")).alias("c")).select("c.*")
+    plan = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(cuts)), "array<struct<i:int,lo:bigint,hi:bigint,j:int>>")).alias("c")).select("c.*")
     plan = plan.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "j"))).alias("cuts"))
     placed = running_totals(rows, ["old_shard"], "_order", {"bytes": F.col("size")}, bits)
     middle = F.col("bytes_before") + F.expr("size div 2")
     found = placed.join(F.broadcast(plan), placed["old_shard"] == plan["i"], "left").withColumn("_middle", middle)
     found = found.withColumn("shard", F.expr("filter(cuts, c -> c.lo <= _middle and _middle < c.hi)[0].j")).drop("i", "cuts", "_middle", "bytes_before")
     slots = running_totals(found, ["shard"], "_order", {"slot": F.lit(1)}, bits)
-    return slots.select(*[f"`{c}`" for c in own], "size", "old_shard", "shard", F.col("slot_before").alias("slot"), (F.col("old_shard") != F.col("shard")).alias("moved"))
+    return slots.withColumnRenamed("slot_before", "slot").withColumn("moved", F.col("old_shard") != F.col("shard"))
+
+
+def old_number(old: Column) -> Column:
+    return F.pmod(F.coalesce(old.cast("long"), F.lit(0)), F.lit(MOST_SHARDS)).cast("int")
+
+
+def reshard(docs: DataFrame, old: Column, shards: int, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 10) -> DataFrame:
+    """``docs`` with size, old_shard, shard (0 to shards - 1), slot (gapless from 0) and moved.
+
+    ``old`` is the shard a row is in now, an integer from 0; null counts as 0. New
+    shards 0 .. keep what they can of the old shards of the same number. Each shard's bytes
+    are within a few rows of an equal share. Rows that repeat are rows of their own. ``bits``:
+    each old shard is cut into 2**bits blocks. An empty table gives an empty result. Columns of ``docs`` named like a
+    new one give way to it.
+    """
+    new = ["size", "old_shard", "shard", "slot", "moved"]
+    order = order_of(id_col, text_col)
+    rows = docs.select(byte_size(F.col(text_col)).alias("size"), old_number(old).alias("old_shard"), order.alias("_order"))
+    return give_back(docs, order, place(rows, shards, bits), new)
 
 
 def write_affected(docs: DataFrame, resharded: DataFrame, path: str) -> None:

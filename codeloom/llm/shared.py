@@ -87,3 +87,16 @@ def running_totals(df: DataFrame, groups: list[str], order: str, weights: dict[s
     joined = local.join(ahead.select(*[F.col(k) for k in keys], *[F.col(f"{k}_before") for k in weights]), condition, "left")
     kept = [local[c] for c in df.columns if c != "_range"]
     return joined.select(*kept, *[(F.col(f"_{k}_local") + F.col(f"{k}_before")).alias(f"{k}_before") for k in weights])
+
+
+def give_back(docs: DataFrame, order: Column, placed: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` with ``columns`` of ``placed``, which has a row (_order, ...) for each of its rows.
+
+    Work on places needs no texts, so they are dealt out once, here. Rows of one hash are copies and take the places in turn.
+    """
+    places = placed.groupBy("_order").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_places"))
+    turn = F.row_number().over(Window.partitionBy("_order").orderBy(F.lit(1)))
+    rows = docs.withColumn("_order", order).withColumn("_turn", turn)
+    joined = rows.join(places, "_order").withColumn("_place", F.get("_places", F.col("_turn") - 1))
+    own = [f"`{c}`" for c in docs.columns if c not in columns]
+    return joined.select(*own, *[F.col(f"_place.{c}").alias(c) for c in columns])
