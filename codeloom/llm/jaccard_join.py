@@ -304,9 +304,12 @@ class JaccardJoin:
     def _groups(self) -> DataFrame:
         """(g, x): each pivot with the members of its lists, as classes; the pivot is a member too."""
         posted = self._signatures()
-        stats = posted.groupBy("sig").agg(F.count("*").alias("members"), F.min(F.struct("pos", "uid")).alias("first"))
-        stats = stats.where("members > 1").select("sig", F.col("first.uid").alias("g"), second_key(F.col("sig")).alias("k"))
-        met = posted.withColumn("k", second_key(F.col("sig"))).join(stats, ["sig", "k"]).select("g", F.col("uid").alias("x")).distinct()
+        # One long for the smallest (pos, uid): row numbers stay under 2**53 up to a million tasks, and a late position is as good as another.
+        rank = F.shiftleft(F.least("pos", F.lit(1023)).cast("long"), 53).bitwiseOR(F.col("uid"))
+        side = F.col("sig") < 0
+        stats = posted.groupBy("sig").agg(F.count("*").alias("members"), F.min(rank).alias("first"))
+        stats = stats.where("members > 1").select("sig", F.col("first").bitwiseAND(F.lit((1 << 53) - 1)).alias("g"), side.alias("k"))
+        met = posted.withColumn("k", side).join(stats, ["sig", "k"]).select("g", F.col("uid").alias("x")).distinct()
         same = self.sets.groupBy("h1", "h2", "n").agg(F.count("*").alias("c"), F.min("uid").alias("first"), F.collect_set("uid").alias("uids"))
         # A class is collected only over the tasks that saw it, not over its copies.
         same = same.where("c > 1").select(F.explode("uids").alias("uid"), "first").where("uid <> first")
