@@ -182,19 +182,57 @@ def _prefixes(ngram: int, percent: int, bits: int, sketch):
     return run
 
 
-def _sets_of(ngram: int, wanted):
-    """Rows (h, tokens) of the texts whose id may be wanted."""
+def _texts_of(ngram: int, wanted):
+    """Rows (h, packed) of the texts whose id may be wanted; packed texts are about a third of their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
+        seen: set[str] = set()
         for batch in batches:
             spot = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = np.flatnonzero((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1)
             if not len(keep):
                 continue
-            rows = [(_class_key(t), K.signed(t)) for t in _sets(batch.column(1).take(pa.array(keep)), ngram)]
-            h, tokens = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(tokens, pa.list_(pa.int64()))], names=["h", "tokens"])
+            texts = batch.column(1).take(pa.array(keep))
+            raw, bounds = K.buffer_of(texts)
+            h, packed = [], []
+            for tokens, a, b in zip(_sets(texts, ngram), bounds, bounds[1:], strict=False):
+                key = _class_key(tokens)
+                if key in seen:
+                    continue
+                seen.add(key)
+                h.append(key)
+                packed.append(int(b - a).to_bytes(8, "little") + pa.compress(raw[a:b].tobytes(), codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(packed, pa.binary())], names=["h", "packed"])
+
+    return run
+
+
+def _overlaps(ngram: int):
+    """Rows (a, b, i, u) of pairs of packed texts: sizes of the intersection and the union of their whole sets.
+
+    A text that several pairs of a batch share is unpacked once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, *sides = batch.columns
+            ha, ta, hb, tb = (c.to_pylist() if k % 2 == 0 else c for k, c in enumerate(sides))
+            place: dict[str, int] = {}
+            parts = []
+            for keys, column in ((ha, ta), (hb, tb)):
+                for key, value in zip(keys, column, strict=True):
+                    if key not in place:
+                        place[key] = len(parts)
+                        data = value.as_buffer()
+                        parts.append(pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), codec="zstd"))
+            raw = np.concatenate([np.frombuffer(x, np.uint8) for x in parts]) if parts else np.zeros(0, np.uint8)
+            _, _, words, at = K.words_of(raw, np.cumsum([0, *(x.size for x in parts)]), K.NOT_BLANK)
+            sets = [np.unique(K.shingle_hashes(words[x:y], ngram)) for x, y in zip(at, at[1:], strict=False)]
+            pairs = [(sets[place[x]], sets[place[y]]) for x, y in zip(ha, hb, strict=True)]
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs]
+            union = [len(x) + len(y) - i for (x, y), i in zip(pairs, common, strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "i", "u"])
 
     return run
 
@@ -343,12 +381,11 @@ class JaccardJoin:
         marked = ids.select(spot.alias("spot")).mapInArrow(_spots(1 << self.filter_bits), PIECE_SCHEMA)
         bits = self.spark.sparkContext.broadcast(_gathered(marked, _or_pieces, np.uint8, 1 << (self.filter_bits - 3)))
         # The filter only spares work: texts that pass it by chance drop out in the join.
-        sets = stash(self.docs.select(spot.alias("spot"), "text").mapInArrow(_sets_of(self.ngram, bits), "h string, tokens array<long>"), "sets")
-        first = sets.select(F.col("h").alias("hb"), F.col("tokens").alias("tb"))
-        other = sets.select(F.col("h").alias("ha"), F.col("tokens").alias("ta"))
-        both = pairs.select("a", "b", "ha", "hb").join(first, "hb").select("a", "b", "ha", "tb").join(other, "ha")
-        common = F.size(F.array_intersect("ta", "tb"))
-        counted = both.select("a", "b", common.alias("i"), (F.size("ta") + F.size("tb") - common).alias("u"))
+        texts = stash(self.docs.select(spot.alias("spot"), "text").mapInArrow(_texts_of(self.ngram, bits), "h string, packed binary"), "texts")
+        first = texts.select(F.col("h").alias("hb"), F.col("packed").alias("tb"))
+        other = texts.select(F.col("h").alias("ha"), F.col("packed").alias("ta"))
+        both = pairs.select("a", "b", "ha", "hb").join(first, "hb").join(other, "ha").select("a", "b", "ha", "ta", "hb", "tb")
+        counted = both.mapInArrow(_overlaps(self.ngram), "a long, b long, i long, u long")
         return counted.where(f"100 * i >= {self.percent} * u").distinct()
 
     def _once(self, pairs: DataFrame) -> DataFrame:
