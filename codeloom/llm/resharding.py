@@ -55,17 +55,18 @@ def old_number(old: Column) -> Column:
     return F.pmod(F.coalesce(old.cast("long"), F.lit(0)), F.lit(MOST_SHARDS)).cast("int")
 
 
-def reshard(docs: DataFrame, old: Column, shards: int, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 10) -> DataFrame:
+def reshard(docs: DataFrame, old: Column, shards: int, *, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None, bits: int = 10) -> DataFrame:
     """``docs`` with size, old_shard, shard (0 to shards - 1), slot (gapless from 0) and moved.
 
     ``old`` is the shard a row is in now, an integer from 0; null counts as 0. New
     shards 0 .. keep what they can of the old shards of the same number. Each shard's bytes
     are within a few rows of an equal share. Rows that repeat are rows of their own. ``bits``:
-    each old shard is cut into 2**bits blocks. An empty table gives an empty result. Columns of ``docs`` named like a
+    each old shard is cut into 2**bits blocks. ``order``: 64-bit numbers spread over their range, in whose order rows lie
+    and get slots; without it a hash of id and text. An empty table gives an empty result. Columns of ``docs`` named like a
     new one give way to it.
     """
     new = ["size", "old_shard", "shard", "slot", "moved"]
-    order = order_of(id_col, text_col)
+    order = order_of(id_col, text_col) if order is None else order
     rows = docs.select(byte_size(F.col(text_col)).alias("size"), old_number(old).alias("old_shard"), order.alias("_order"))
     return give_back(docs, order, place(rows, shards, bits), new)
 

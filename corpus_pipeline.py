@@ -9,7 +9,7 @@ from codeloom.llm.decontaminate import benchmark_hits
 from codeloom.llm.jaccard_join import JaccardJoin
 from codeloom.llm.pfair import interleave
 from codeloom.llm.quality_rules import keep_good
-from codeloom.llm.queries import SHARDS, old_shard
+from codeloom.llm.queries import SHARDS
 from codeloom.llm.resharding import reshard
 from codeloom.llm.shared import stash, table
 
@@ -32,15 +32,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: files hold consecutive stretches of it."""
+    """All documents with their place in the mix: files hold consecutive stretches of it."""
     mixed = interleave(docs)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    own = [c for c in docs.columns if c != "mix_position"]
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*own, "mix_position")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the shard and slot they go to."""
-    out = reshard(docs, old_shard(), SHARDS)
-    return out.select(*docs.columns, "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot")
+    """All documents with the shard and slot they go to.
+
+    The files of the mix are the old shards, and rows lie in its order: shards are made of stretches of the mix.
+    """
+    file = F.expr("try_cast(regexp_extract(input_file_name(), 'part-([0-9]+)', 1) as int)")
+    # Places are gapless from 0; spread over the positive longs they cut into ranges as hashes do.
+    spread = F.col("mix_position") * F.lit(((1 << 63) - 1) // max(docs.count(), 1))
+    out = reshard(docs, file, SHARDS, order=spread)
+    own = [c for c in docs.columns if c != "mix_position"]
+    return out.select(*own, "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot")
 
 
 STAGES = [

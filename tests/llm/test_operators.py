@@ -15,6 +15,7 @@ from codeloom.llm.components import connected_components
 from codeloom.llm.decontaminate import benchmark_hits
 from codeloom.llm.jaccard_join import JaccardJoin
 from codeloom.llm.quality_rules import judge, keep_good
+from codeloom.llm.shared import stash
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, shard string"
@@ -293,3 +294,19 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in out) == [*range(10), 11]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "sharding"]
+
+
+def test_shards_carry_the_mix(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "x" * (i % 40), "s0" if i % 3 == 0 else f"s{i % 7}") for i in range(1200)], "doc_id long, text string, source string")
+    place = {r["doc_id"]: r["mix_position"] for r in pfair.interleave(docs).collect()}
+    mixed = stash(corpus_pipeline.source_mixing(spark, docs, "").repartitionByRange(5, "mix_position"), "mixed")
+    out = corpus_pipeline.sharding(spark, mixed, "")
+    assert "mix_position" not in out.columns
+    shards = {}
+    for r in sorted(out.collect(), key=lambda r: (r["shard"], r["slot"])):
+        shards.setdefault(r["shard"], []).append((place[r["doc_id"]], r["source"]))
+    assert len(shards) == 24 and sorted(p for s in shards.values() for p, _ in s) == list(range(1200))
+    assert all(s == sorted(s) for s in shards.values())
+    # Stretches of the mix: a shard starts one, and so does each cut of a file.
+    assert sum(1 + sum(b[0] != a[0] + 1 for a, b in itertools.pairwise(s)) for s in shards.values()) <= 5 + 24
+    assert all(len({source for _, source in s}) > 1 for s in shards.values() if s[-1][0] < 600)
