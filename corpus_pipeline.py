@@ -20,10 +20,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts (five words, 0.8) the document of least id; texts without words all stay."""
-    found = JaccardJoin(docs, ngram=5, percent=80).components()
-    first = found.where("id = component or component is null").select(F.col("id").alias("doc_id"))
-    return docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of linked texts (five words, 0.8) the document of least id; texts without words all stay.
+
+    A document without an id is one of its own, and stands for its group only where no other has an id.
+    """
+    own = docs.columns
+    unnamed = docs.where("doc_id is null")
+    if unnamed.select("doc_id").isEmpty():
+        keyed = docs.withColumn("_key", F.col("doc_id"))
+    else:
+        # Keys beyond all longs, written so that they stay the same when they are read again.
+        after = F.expr("cast(9223372036854775808BD + monotonically_increasing_id() as decimal(20, 0))")
+        unnamed = stash(unnamed.withColumn("_key", after), "unnamed")
+        keyed = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id").cast("decimal(20, 0)")).unionByName(unnamed)
+    first = JaccardJoin(keyed, id_col="_key", ngram=5, percent=80).components().where("id = component").select(F.col("id").alias("_key"))
+    return keyed.join(first.distinct(), "_key", "left_semi").select(*own)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

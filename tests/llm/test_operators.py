@@ -310,3 +310,16 @@ def test_shards_carry_the_mix(spark):
     # Stretches of the mix: a shard starts one, and so does each cut of a file.
     assert sum(1 + sum(b[0] != a[0] + 1 for a, b in itertools.pairwise(s)) for s in shards.values()) <= 5 + 24
     assert all(len({source for _, source in s}) > 1 for s in shards.values() if s[-1][0] < 600)
+
+
+def test_pipeline_without_ids(spark, tmp_path):
+    prose = [" ".join(f"{w}{i}" for w in ("Rivers", "cross", "wide", "plains", "and", "reach", "the", "sea")) + "." for i in range(20)]
+    unique, copied, mixed, named = ("\n".join(prose[i : i + 5]) for i in range(0, 20, 5))
+    rows = [(None, unique), (None, copied), (None, copied), (None, mixed), (5, mixed), (1 << 62, named)]
+    docs = spark.createDataFrame([(i, t, "en", f"src{k % 2}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such passage")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert out == Counter([(None, unique), (None, copied), (5, mixed), (1 << 62, named)])
+    bare = spark.createDataFrame([(None, None), (None, ""), (None, "")], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, bare, "").count() == 3
