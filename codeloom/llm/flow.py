@@ -38,6 +38,17 @@ def transfers(sizes: list[int], capacities: list[int], cost=lambda i, j: int(i !
                 if x and dist_new[j] - cost(i, j) < dist_old[i]:
                     dist_old[i], came_old[i], changed = dist_new[j] - cost(i, j), j, True
         j = min((j for j in range(m) if room[j]), key=lambda j: (dist_new[j], j))
+        # Arcs as short as the shortest path are shortest paths themselves: all of them at once spare a search for each.
+        short, any_direct = dist_new[j], False
+        for b in range(m):
+            for i in range(n):
+                if supply[i] and room[b] and cost(i, b) == short:
+                    x, any_direct = min(supply[i], room[b]), True
+                    flow[i, b] = flow.get((i, b), 0) + x
+                    supply[i] -= x
+                    room[b] -= x
+        if any_direct:
+            continue
         path, end = [], j
         while True:
             i = came_new[end]

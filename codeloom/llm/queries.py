@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from codeloom.llm.decontaminate import benchmark_hits
 from codeloom.llm.jaccard_join import JaccardJoin
 from codeloom.llm.pfair import schedule
 from codeloom.llm.quality_rules import judge
-from codeloom.llm.resharding import byte_size, old_number, order_of, place
+from codeloom.llm.resharding import byte_size, old_number, order_of, place, write_affected
 from codeloom.llm.secret_scan import scan
-from codeloom.llm.shared import table
+from codeloom.llm.shared import give_back, stash, table, work_folder
 from codeloom.llm.url_filter import CONTRACT_RULES, PATTERN_RULES, judge_urls
 
 SHARDS = 24
@@ -60,9 +62,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), old_number(old_shard()).alias("old_shard"), order_of().alias("_order"))
-    return place(rows, SHARDS).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+    """The plan, and beside it the shards that gain or lose rows, written whole to the shared folder."""
+    docs, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), old_number(old_shard()).alias("old_shard"), order_of().alias("_order"))
+    placed = stash(place(rows, SHARDS), "places")
+    write_affected(give_back(docs, order_of(), placed, ["size", "old_shard", "shard", "slot", "moved"]), f"{work_folder(spark)}/shards-{uuid.uuid4().hex}")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ bytes lie ahead of it come from per-block totals and a window within the block.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.flow import even, transfers
 from codeloom.llm.shared import give_back, running_totals
 
-#: Old shards that one flow is solved for; more are merged by hash first.
-MOST_SHARDS = 1024
+#: Old shards that one flow is solved for; they are listed on the driver.
+MOST_SHARDS = 100_000
 
 
 def byte_size(text: Column) -> Column:
@@ -33,12 +34,14 @@ def order_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 def place(rows: DataFrame, shards: int, bits: int = 10) -> DataFrame:
     """``rows`` (size, old_shard, _order, ...) with shard, slot and moved; nothing here needs the texts."""
-    sizes = {r["old_shard"]: r["b"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}
-    n = max([*sizes, shards - 1]) + 1
-    moves = transfers([sizes.get(i, 0) for i in range(n)], even(sum(sizes.values()), shards))
-    cuts, at = [], dict.fromkeys(range(n), 0)
-    for i, j in sorted(moves, key=lambda k: (k[0], k[0] != k[1], k[1])):
-        cuts.append({"i": i, "lo": at[i], "hi": at[i] + moves[i, j], "j": j})
+    sizes = {r["old_shard"]: r["b"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("b")).limit(MOST_SHARDS + 1).collect()}
+    if len(sizes) > MOST_SHARDS:
+        raise ValueError(f"more than {MOST_SHARDS} old shards")
+    old = sorted(sizes)
+    moves = transfers([sizes[i] for i in old], even(sum(sizes.values()), shards), lambda i, j: int(old[i] != j))
+    cuts, at = [], dict.fromkeys(range(len(old)), 0)
+    for i, j in sorted(moves, key=lambda k: (k[0], old[k[0]] != k[1], k[1])):
+        cuts.append({"i": old[i], "lo": at[i], "hi": at[i] + moves[i, j], "j": j})
         at[i] += moves[i, j]
     # One row for each arc with flow: fewer than old and new shards together, for a basic solution.
     plan = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(cuts)), "array<struct<i:int,lo:bigint,hi:bigint,j:int>>")).alias("c")).select("c.*")
@@ -52,7 +55,7 @@ def place(rows: DataFrame, shards: int, bits: int = 10) -> DataFrame:
 
 
 def old_number(old: Column) -> Column:
-    return F.pmod(F.coalesce(old.cast("long"), F.lit(0)), F.lit(MOST_SHARDS)).cast("int")
+    return F.coalesce(old.cast("long"), F.lit(0)).cast("int")
 
 
 def reshard(docs: DataFrame, old: Column, shards: int, *, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None, bits: int = 10) -> DataFrame:
@@ -71,8 +74,28 @@ def reshard(docs: DataFrame, old: Column, shards: int, *, id_col: str = "doc_id"
     return give_back(docs, order, place(rows, shards, bits), new)
 
 
-def write_affected(docs: DataFrame, resharded: DataFrame, path: str) -> None:
-    """Write the shards that gain or lose rows, a folder each; shards that keep all their rows are left alone."""
-    changed = resharded.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    rows = resharded.join(F.broadcast(changed), F.col("shard") == F.col("s"), "left_semi")
-    rows.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_affected(resharded: DataFrame, path: str) -> list[int]:
+    """Rewrite the folders ``path``/shard=N of shards that gain or lose rows, and return their numbers.
+
+    Folders of shards that keep all their rows are left alone. The new folders are whole before the
+    first old one goes, so ``resharded`` may be read from ``path``; it cannot be read again afterwards. Shards
+    without rows lose their folder.
+    """
+    spark = resharded.sparkSession
+    # No more than old and new shards together.
+    changed = sorted(r["s"] for r in resharded.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
+    if not changed:
+        return changed
+    fresh = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    rows = resharded.where(F.col("shard").isin(changed)).drop("old_shard", "moved")
+    rows.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(fresh)
+    jvm = spark._jvm
+    files = jvm.org.apache.hadoop.fs.Path(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in changed:
+        new, old = (jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={s}") for folder in (fresh, path.rstrip("/")))
+        if files.exists(old) and not files.delete(old, True):
+            raise OSError(f"shard {s} of {path} cannot be removed; the new one is in {fresh}")
+        if files.exists(new) and not files.rename(new, old):
+            raise OSError(f"shard {s} of {path} cannot be replaced; the new one is in {fresh}")
+    files.delete(jvm.org.apache.hadoop.fs.Path(fresh), True)
+    return changed

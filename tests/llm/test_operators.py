@@ -1,5 +1,6 @@
 """Each operator on awkward rows, and against a brute-force version."""
 
+import glob
 import itertools
 import random
 import re
@@ -10,12 +11,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codeloom.llm import flow, license_scan, pfair, quality_cnn, resharding, secret_scan, toxicity, url_filter
+from codeloom.llm import flow, license_scan, pfair, quality_cnn, queries, resharding, secret_scan, toxicity, url_filter
 from codeloom.llm.components import connected_components
 from codeloom.llm.decontaminate import benchmark_hits
 from codeloom.llm.jaccard_join import JaccardJoin
 from codeloom.llm.quality_rules import judge, keep_good
-from codeloom.llm.shared import stash
+from codeloom.llm.shared import stash, work_folder
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, shard string"
@@ -323,3 +324,39 @@ def test_pipeline_without_ids(spark, tmp_path):
     assert out == Counter([(None, unique), (None, copied), (5, mixed), (1 << 62, named)])
     bare = spark.createDataFrame([(None, None), (None, ""), (None, "")], "doc_id long, text string")
     assert corpus_pipeline.near_duplicates(spark, bare, "").count() == 3
+
+
+def test_affected_shards_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(800)], "doc_id long, text string")
+    assert resharding.write_affected(resharding.reshard(docs, F.lit(1027), 4), path) == [0, 1, 2, 3, 1027]
+    # Shards 0 and 1 have their share; 1026 is given to 2 and 3.
+    spread = F.when(F.col("shard") < 2, F.col("shard")).otherwise(F.lit(1026))
+    placed = spark.read.parquet(path).withColumn("old", spread)
+    (tmp_path / "again").mkdir()
+    for k in (0, 1, 7, 1026):
+        placed.where(F.col("old") == k).drop("shard", "slot", "size", "old").write.parquet(str(tmp_path / "again" / f"shard={k}"))
+    path = str(tmp_path / "again")
+    sizes = {k: spark.read.parquet(f"{path}/shard={k}").agg(F.sum(resharding.byte_size(F.col("text")))).first()[0] or 0 for k in (0, 1, 1026)}
+    before = {k: sorted((f.name, f.stat().st_mtime_ns) for f in (tmp_path / "again" / f"shard={k}").iterdir()) for k in (0, 1)}
+    old = spark.read.parquet(path)
+    plan = resharding.reshard(old, F.col("shard"), 4)
+    want = {r["s"] for r in plan.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).collect()}
+    assert {2, 3, 1026} <= want and 7 not in want, sizes
+    assert set(resharding.write_affected(plan, path)) == want
+    for k in {0, 1} - want:
+        assert sorted((f.name, f.stat().st_mtime_ns) for f in (tmp_path / "again" / f"shard={k}").iterdir()) == before[k]
+    assert {0, 1} - want, "no shard is left alone"
+    assert not (tmp_path / "again" / "shard=1026").exists() and not list((tmp_path / "again").glob("_new*"))
+    assert sorted(r["doc_id"] for r in spark.read.parquet(path).collect()) == list(range(800))
+
+
+def test_op8_writes_the_shards(spark, odd, tmp_path):
+    odd.drop("shard", "size").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = work_folder(spark)
+    known = set(glob.glob(f"{folder}/shards-*"))
+    plan = queries.op8_sharding(spark, str(tmp_path)).collect()
+    (path,) = set(glob.glob(f"{folder}/shards-*")) - known
+    moved = {s for r in plan if r["moved"] for s in (r["shard"], r["old_shard"])}
+    want = Counter((r["doc_id"], r["shard"], r["slot"]) for r in plan if r["shard"] in moved)
+    assert len(plan) == len(ODD) and want == Counter((r["doc_id"], r["shard"], r["slot"]) for r in spark.read.parquet(path).collect())
