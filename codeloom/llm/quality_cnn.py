@@ -85,21 +85,44 @@ class ByteCnn:
             i = j
         return out
 
-    def _long(self, text: bytes) -> float:
-        """One very long text, by whole chunks at a time: what is pooled over chunks adds up."""
+    @staticmethod
+    def _spans(text: bytes):
+        """Whole chunks at a time of one very long text: what is pooled over chunks adds up."""
         span = STRIDE * CHUNK * 1024
+        return (text[a : a + span + STRIDE] for a in range(0, len(text), span))
+
+    def _pooled_long(self, text: bytes) -> tuple[np.ndarray, int]:
+        """The pooled values of one very long text, and the number of its chunks."""
         most, total, count = np.zeros(FILTERS, np.float32), np.zeros(FILTERS), 0
-        for a in range(0, len(text), span):
-            z = self._pooled([text[a : a + span + STRIDE]])[6]
+        for piece in self._spans(text):
+            z = self._pooled([piece])[6]
             most, total, count = np.maximum(most, z.max(axis=0)), total + z.sum(axis=0), count + len(z)
-        return float(_logistic(np.concatenate([most, total / count]) @ self.p["u"] + self.p["c"])[0])
+        return np.concatenate([most, total / count]), count
+
+    def _long(self, text: bytes) -> float:
+        return float(_logistic(self._pooled_long(text)[0] @ self.p["u"] + self.p["c"])[0])
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        raw, first, chunks, docs, x, a, z, count, both = self._pooled(texts)
-        e = ((_logistic(both @ self.p["u"] + self.p["c"]) - y) * weight / len(texts)).astype(np.float32)
-        grad = {"u": both.T @ e, "c": e.sum(keepdims=True)}
+        long = np.array([len(t) > 4 * STEP for t in texts])
+        grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+        if not long.all():
+            state = self._pooled([t for t, x in zip(texts, long, strict=True) if not x])
+            self._add(grad, state, state[8], state[7], y[~long], weight[~long], len(texts))
+        for i in np.flatnonzero(long):
+            both, count = self._pooled_long(texts[i])
+            for k, piece in enumerate(self._spans(texts[i])):
+                self._add(grad, self._pooled([piece]), both[None].astype(np.float32), np.array([count]), y[i : i + 1], weight[i : i + 1], len(texts), head=not k)
+        return grad
+
+    def _add(self, grad: dict[str, np.ndarray], state: tuple, both: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, head: bool = True) -> None:
+        """Add the gradients of the chunks of ``state``; ``both`` and ``count`` are of their whole texts. ``head``: those of the last layer too, once a text."""
+        raw, first, chunks, docs, x, a, z, here, _ = state
+        e = ((_logistic(both @ self.p["u"] + self.p["c"]) - y) * weight / n).astype(np.float32)
+        if head:
+            grad["u"] += both.T @ e
+            grad["c"] += e.sum(keepdims=True)
         d = e[:, None] * self.p["u"][None]
-        of = np.repeat(np.arange(len(docs)), count)
+        of = np.repeat(np.arange(len(docs)), here)
         dz = (d[:, FILTERS:] / count[:, None])[of]
         top = both[of, :FILTERS] == z
         dz += np.where(top, d[of, :FILTERS], 0)
@@ -117,14 +140,15 @@ class ByteCnn:
             for k in range(DIM):
                 de[:, k] += np.bincount(seen.reshape(-1), back[:, :, k].reshape(-1), 256)
         de[0] = 0
-        return grad | {"w": dw, "b": db, "e": de}
+        for k, v in (("w", dw), ("b", db), ("e", de)):
+            grad[k] += v
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, least_steps: int = 500) -> ByteCnn:
         net = cls()
         if not texts:
             return net
-        encoded, y = [t.encode("utf-8", "surrogatepass")[: 4 * STEP] for t in texts], np.array(labels, np.float64)
+        encoded, y = [t.encode("utf-8", "surrogatepass") for t in texts], np.array(labels, np.float64)
         share = min(max(y.mean(), 0.02), 0.98)
         weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
         m = {k: np.zeros_like(v) for k, v in net.p.items()}

@@ -360,3 +360,17 @@ def test_op8_writes_the_shards(spark, odd, tmp_path):
     moved = {s for r in plan if r["moved"] for s in (r["shard"], r["old_shard"])}
     want = Counter((r["doc_id"], r["shard"], r["slot"]) for r in plan if r["shard"] in moved)
     assert len(plan) == len(ODD) and want == Counter((r["doc_id"], r["shard"], r["slot"]) for r in spark.read.parquet(path).collect())
+
+
+def test_long_texts_are_learned_whole():
+    whole = "Some words, again and again. " * 160000
+    assert len(whole) > 4 * quality_cnn.STEP
+    one, two = (quality_cnn.ByteCnn.fit([whole + tail, "short"], [1, 0], epochs=2, least_steps=1) for tail in ("", "grumbolt " * 1000))
+    assert any((one.p[k] != two.p[k]).any() for k in one.p)
+    net, y, w = quality_cnn.ByteCnn(), np.array([1.0, 0.0]), np.ones(2)
+    texts = [whole.encode(), b"short"]
+    state = net._pooled(texts)
+    want = {k: np.zeros_like(v) for k, v in net.p.items()}
+    net._add(want, state, state[8], state[7], y, w, 2)
+    for k, got in net.gradients(texts, y, w).items():
+        assert got == pytest.approx(want[k], rel=1e-2, abs=1e-5), k
