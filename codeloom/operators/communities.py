@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,8 +51,12 @@ def summary(adjacency: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("community", "n_members", (-F.col("_least")).alias("representative"), F.coalesce("internal", F.lit(0.0)).alias("internal"), F.coalesce("external", F.lit(0.0)).alias("external"))
 
 
-def _moves(adjacency: DataFrame, labels: DataFrame, m2: float, parity: int) -> DataFrame:
-    """Labels after nodes of one parity have moved to the community of most gain, if that is positive; ties to the least."""
+def _moves(adjacency: DataFrame, labels: DataFrame, m2: float, parity: int | None, salt: int = 0) -> DataFrame:
+    """Labels after nodes have moved to the community of most gain, if that is positive; ties to the least.
+
+    ``parity``: only the nodes of one half. None: of all nodes that would leave or enter a community only one, by a
+    hash with ``salt``, so that each move gains what it counts and modularity grows.
+    """
     degree = adjacency.groupBy("a").agg(F.sum("weight").alias("k"))
     known = labels.join(degree, labels["node_id"] == degree["a"], "left").select("node_id", "community", F.coalesce("k", F.lit(0.0)).alias("k"))
     total = known.groupBy("community").agg(F.sum("k").alias("total"))
@@ -60,34 +66,67 @@ def _moves(adjacency: DataFrame, labels: DataFrame, m2: float, parity: int) -> D
     held = F.col("total") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0.0)
     gain = F.round(F.col("w") - held * F.col("k") / F.lit(m2), 9)
     best = Window.partitionBy("node_id").orderBy(F.col("gain").desc(), (F.col("to") != F.col("community")), "to")
-    chosen = options.withColumn("gain", gain).withColumn("r", F.row_number().over(best)).where("r = 1").select("node_id", F.col("to").alias("moved"))
-    may = F.pmod(F.xxhash64("node_id"), F.lit(2)) == parity
+    ranked = options.withColumn("gain", gain).withColumn("r", F.row_number().over(best)).where("r = 1")
+    if parity is None:
+        movers = cut(ranked.where(F.col("to") != F.col("community")).select("node_id", "community", "to"))
+        ends = movers.select("node_id", F.explode(F.array("community", "to")).alias("c"))
+        first = ends.groupBy("c").agg(F.max(F.struct(F.xxhash64("node_id", F.lit(salt)).alias("h"), "node_id"))["node_id"].alias("node_id"))
+        free = first.groupBy("node_id").agg(F.count("*").alias("n")).where("n = 2")
+        chosen = movers.join(free, "node_id", "left_semi").select("node_id", F.col("to").alias("moved"))
+        may = F.lit(True)
+    else:
+        chosen = ranked.select("node_id", F.col("to").alias("moved"))
+        may = F.pmod(F.xxhash64("node_id"), F.lit(2)) == parity
     return labels.join(chosen, "node_id", "left").select("node_id", F.when(may, F.coalesce("moved", "community")).otherwise(F.col("community")).alias("community"))
 
 
-def detect(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 2) -> DataFrame:
-    """(node_id, community) by Louvain: halves of the nodes move in turn, communities contract, until nothing gains.
+def _differ(new: DataFrame, old: DataFrame) -> bool:
+    return not new.alias("n").join(old.alias("o"), "node_id").where("n.community <> o.community").isEmpty()
+
 
-    Nodes without edges stay alone. Halves are dealt by a hash, so that two neighbours seldom swap
-    places for ever. The labels are those of a smallest member.
+def settle(graph: DataFrame, m2: float, rounds: int = 4, most: int = 1000) -> DataFrame:
+    """Labels of the nodes of ``graph`` from which no node gains by moving alone.
+
+    Halves of the nodes move in turn for up to ``rounds`` rounds, which is fast but may swap neighbours; then
+    moves that do not touch each other, each of which gains. After ``most`` of these a warning says that labels still move.
+    """
+    # Grouping instead of a copied column: equal columns make the optimizer infer ever more constraints.
+    labels = cut(graph.groupBy(F.col("a").alias("node_id")).agg(F.max("a").alias("community")))
+    for _ in range(rounds):
+        before = labels
+        for parity in (0, 1):
+            labels = cut(_moves(graph, labels, m2, parity))
+        if not _differ(labels, before):
+            return labels
+    for k in range(most):
+        before, labels = labels, cut(_moves(graph, labels, m2, None, k))
+        if not _differ(labels, before):
+            return labels
+    warnings.warn(f"communities still move after {most} rounds", stacklevel=2)
+    return labels
+
+
+def detect(nodes: DataFrame, edges: DataFrame, levels: int = 10, least_gain: float = 1e-6) -> DataFrame:
+    """(node_id, community) by Louvain: nodes move until none gains, communities contract and move in their turn.
+
+    After the first pass up to ``levels`` more follow, until no community moves or modularity changes by less than
+    ``least_gain``. Nodes without edges stay alone. The labels are those of a smallest member.
     """
     adjacency = cut(symmetrised(edges))
     labels = cut(nodes.groupBy("node_id").agg(F.max("node_id").alias("community")))
     m2 = adjacency.agg(F.sum("weight")).first()[0]
     if not m2:
         return labels
-    graph, mapping = adjacency, labels
-    for _ in range(levels):
-        # Grouping instead of a copied column: equal columns make the optimizer infer ever more constraints.
-        inner = cut(graph.groupBy(F.col("a").alias("node_id")).agg(F.max("a").alias("community")))
-        before = inner
-        for k in range(2 * rounds):
-            inner = cut(_moves(graph, inner, m2, k % 2))
-        moved = inner.alias("n").join(before.alias("o"), "node_id").where("n.community <> o.community")
-        if moved.isEmpty():
+    graph, mapping, quality = adjacency, labels, None
+    for _ in range(1 + levels):
+        inner = settle(graph, m2)
+        if inner.where("node_id <> community").isEmpty():
             break
         step = inner.select(F.col("node_id").alias("community"), F.col("community").alias("_to"))
         mapping = cut(mapping.join(step, "community", "left").select("node_id", F.coalesce("_to", "community").alias("community")))
+        before, quality = quality, modularity(adjacency, mapping).first()[0]
+        if before is not None and abs(quality - before) < least_gain:
+            break
         graph = cut(contract(graph, inner))
     least = mapping.groupBy("community").agg(F.min("node_id").alias("least"))
     return mapping.join(least, "community").select("node_id", F.col("least").alias("community"))

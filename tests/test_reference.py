@@ -7,6 +7,7 @@ import pytest
 
 from codeloom.engine import Engine
 from codeloom.functions.text import glob_regex, glob_suffix, module_path
+from codeloom.operators import communities
 from codeloom.plans import catalog
 
 duckdb = pytest.importorskip("duckdb")
@@ -69,3 +70,37 @@ def test_names():
     assert glob_suffix("src/**/*.rs") == ".rs" and glob_suffix("**/*.py") == ".py"
     assert module_path("/p/a/b.ts", "../c") == "/p/c.ts" and module_path("/p/b.ts", "lodash") == "lodash"
     assert glob_regex("*.log") == r"(?:^|/)[^/]*\.log(?:/|$)"
+
+
+def test_communities_settle(spark):
+    # A chain of cliques, with a hub over one member of each: gains are left after few rounds.
+    pairs = [(5 * c + i, 5 * c + j) for c in range(6) for i in range(5) for j in range(i)] + [(5 * c, 5 * c - 1) for c in range(1, 6)] + [(100, 5 * c) for c in range(6)] + [(200 + i, 201 + i) for i in range(30)]
+    adj = {}
+    for a, b in pairs:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    nodes, m2 = sorted(adj), 2 * len(pairs)
+
+    def quality(label):
+        return sum(label[a] == label[b] for a in adj for b in adj[a]) / m2 - sum(sum(len(adj[v]) for v in nodes if label[v] == c) ** 2 for c in set(label.values())) / m2**2
+
+    def best(label, v):
+        worth = lambda c: sum(label[u] == c for u in adj[v]) - len(adj[v]) * sum(len(adj[u]) for u in nodes if label[u] == c and u != v) / m2
+        return max(worth(c) for c in {label[u] for u in adj[v]}) - worth(label[v])
+
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "source_id long, target_id long, confidence double")
+    flat = {r["node_id"]: r["community"] for r in communities.settle(communities.symmetrised(edges), float(m2)).collect()}
+    assert sorted(flat) == nodes and all(best(flat, v) <= 1e-6 for v in nodes)
+    found = {r["node_id"]: r["community"] for r in communities.detect(spark.createDataFrame([(v,) for v in [*nodes, 999]], "node_id long"), edges).collect()}
+    assert sorted(found) == [*nodes, 999] and found.pop(999) == 999
+    assert all(c == min(v for v in found if found[v] == c) for c in found.values())
+    # The greedy sequential result: one local phase, nodes in order, until none gains.
+    greedy, moved = {v: v for v in nodes}, True
+    while moved:
+        moved = False
+        for v in nodes:
+            worth = {c: sum(greedy[u] == c for u in adj[v]) - len(adj[v]) * sum(len(adj[u]) for u in nodes if greedy[u] == c and u != v) / m2 for c in {greedy[u] for u in adj[v]} | {greedy[v]}}
+            to = max(worth, key=worth.get)
+            if worth[to] > worth[greedy[v]] + 1e-9:
+                greedy[v], moved = to, True
+    assert quality(found) >= quality(flat) - 1e-9 and quality(found) >= quality(greedy) - 0.02
