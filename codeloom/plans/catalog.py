@@ -446,6 +446,49 @@ def changed_closure(t, spark):
     return G.closure(edges, t("orders").where("o_orderkey % 100 = 3").select(F.col("o_orderkey").alias("file_id")))
 
 
+# --- the reference's default depths, without SQL: unrolled that far it is too slow ----------------------------
+
+
+@query()
+def impact_radius_whole(t, spark):
+    return G.impact_radius(t("edg"), seeds(spark, 42))
+
+
+@query()
+def impact_by_depth_whole(t, spark):
+    return G.impact_by_depth(G.impact_radius(t("edg"), seeds(spark, 42)))
+
+
+@query()
+def forward_reachable_whole(t, spark):
+    return G.reach(t("edg"), seeds(spark, 42), 20)
+
+
+@query()
+def reverse_reachable_whole(t, spark):
+    return G.reach(t("edg"), seeds(spark, 77), 20, reverse=True)
+
+
+@query()
+def callers_transitive_whole(t, spark):
+    return G.reach(t("edg"), seeds(spark, 7), 20, reverse=True).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
+
+
+@query()
+def callees_transitive_whole(t, spark):
+    return G.reach(t("edg"), seeds(spark, 7), 20).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
+
+
+@query()
+def call_path_whole(t, spark):
+    return G.call_path(t("edg"), 42, 77).agg(F.coalesce(F.max("hop"), F.lit(-1)).alias("hops"))
+
+
+@query()
+def git_impact_whole(t, spark):
+    return G.change_impact(t("sym"), t("edg"), t("sym").where("node_id in (5, 42)").select("path"))
+
+
 CHANGED = "SELECT node_id FROM {sym} WHERE path IN (SELECT path FROM {sym} WHERE node_id IN (5, 42))"
 
 

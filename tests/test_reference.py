@@ -104,3 +104,27 @@ def test_communities_settle(spark):
             if worth[to] > worth[greedy[v]] + 1e-9:
                 greedy[v], moved = to, True
     assert quality(found) >= quality(flat) - 1e-9 and quality(found) >= quality(greedy) - 0.02
+
+
+def frames(spark):
+    """A chain of 30 calls through 7, 42 and 77, with its symbols."""
+    chain = [*range(100, 108), 7, *range(108, 119), 42, *range(119, 123), 77, *range(123, 128)]
+    found = {
+        "edg": spark.createDataFrame([(a, b, 0.5) for a, b in zip(chain, chain[1:], strict=False)], "source_id long, target_id long, confidence double"),
+        "sym": spark.createDataFrame([(v, f"f{v}", f"q.f{v}", f"/p/{v}.ts", 1, 9) for v in chain], "node_id long, name string, qualified_name string, path string, line_start int, line_end int"),
+        "orders": spark.createDataFrame([(i,) for i in range(6)], "o_orderkey long"),
+        "imp": spark.createDataFrame([(i + 1, i) for i in range(6)], "file_id long, needs long"),
+        "doc_files": spark.createDataFrame([("/p/7.ts", "a 123\nb"), ("/p/x.ts", "c 456")], "path string, content string"),
+    }
+    return found.__getitem__, chain
+
+
+def test_whole_depths(spark):
+    t, chain = frames(spark)
+    at = chain.index
+    got = {r["node_id"]: r["depth"] for r in catalog.callees_transitive_whole(t, spark).collect()}
+    assert got == {v: at(v) - at(7) for v in chain if 0 < at(v) - at(7) <= 20}
+    assert catalog.call_path_whole(t, spark).first()["hops"] == 5
+    impact = {r["node_id"]: r["depth"] for r in catalog.impact_radius_whole(t, spark).collect()}
+    assert impact == {v: at(42) - at(v) for v in chain if 0 < at(42) - at(v) <= 10}
+    assert {r["node_id"]: (r["impacted"], r["risk"]) for r in catalog.git_impact_whole(t, spark).collect()} == {42: (5, "MEDIUM")}
