@@ -241,7 +241,7 @@ def find_definition(t, spark):
 
 @query("SELECT path, CAST(i AS INT) AS line_no, trim(l[i]) AS line, CAST(NULL AS STRING) AS symbol FROM (SELECT path, string_split(content, chr(10)) AS l FROM {doc_files}), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE regexp_matches(l[i], '[0-9][0-9][0-9]')")
 def search_code(t, spark):
-    return S.search_code(t("doc_files"), "[0-9][0-9][0-9]", limit=None)
+    return S.search_code(t("doc_files"), "[0-9][0-9][0-9]", t("sym"), limit=None)
 
 
 @query("SELECT p AS line_no, x.path, min_by(s.name, CAST(s.line_start AS BIGINT) * 100000000 + s.node_id) AS symbol FROM (SELECT path, CAST(line_start + 3 AS INT) AS p FROM {sym} WHERE node_id % 3 = 0) x JOIN {sym} s ON s.path = x.path AND x.p BETWEEN s.line_start AND s.line_end GROUP BY p, x.path")
@@ -489,6 +489,29 @@ def git_impact_whole(t, spark):
     return G.change_impact(t("sym"), t("edg"), t("sym").where("node_id in (5, 42)").select("path"))
 
 
+# --- without filters on ids -----------------------------------------------------------------------------------
+
+
+@query("SELECT i.file_id, i.needs FROM {imp} i JOIN {orders} a ON a.o_orderkey = i.file_id JOIN {orders} b ON b.o_orderkey = i.needs")
+def import_deps_whole(t, spark):
+    files = t("orders").select(F.col("o_orderkey").alias("file_id"))
+    inside = t("imp").join(files, "file_id", "left_semi")
+    return inside.join(files.withColumnRenamed("file_id", "needs"), "needs", "left_semi").select("file_id", "needs")
+
+
+@query("SELECT needs, file_id FROM {imp}")
+def reverse_deps_whole(t, spark):
+    return t("imp").select("needs", "file_id")
+
+
+@query("SELECT p AS line_no, x.path, min_by(s.name, CAST(s.line_start AS BIGINT) * 100000000 + s.node_id) AS symbol FROM (SELECT path, CAST(line_start + 3 AS INT) AS p FROM {sym}) x JOIN {sym} s ON s.path = x.path AND x.p BETWEEN s.line_start AND s.line_end GROUP BY p, x.path")
+def enclosing_symbol_whole(t, spark):
+    points = t("sym").select("path", (F.col("line_start") + 3).cast("int").alias("line_no"))
+    s = t("sym").select(F.col("path").alias("_p"), "name", "line_start", "line_end", "node_id")
+    met = points.join(s, (points["path"] == s["_p"]) & points["line_no"].between(F.col("line_start"), F.col("line_end")))
+    return met.groupBy("line_no", "path").agg(F.min_by("name", F.struct("line_start", "node_id")).alias("symbol"))
+
+
 CHANGED = "SELECT node_id FROM {sym} WHERE path IN (SELECT path FROM {sym} WHERE node_id IN (5, 42))"
 
 

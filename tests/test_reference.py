@@ -128,3 +128,11 @@ def test_whole_depths(spark):
     impact = {r["node_id"]: r["depth"] for r in catalog.impact_radius_whole(t, spark).collect()}
     assert impact == {v: at(42) - at(v) for v in chain if 0 < at(42) - at(v) <= 10}
     assert {r["node_id"]: (r["impacted"], r["risk"]) for r in catalog.git_impact_whole(t, spark).collect()} == {42: (5, "MEDIUM")}
+
+
+def test_no_rows_are_left_out(spark):
+    t, chain = frames(spark)
+    assert sorted(tuple(r) for r in catalog.import_deps_whole(t, spark).collect()) == [(i + 1, i) for i in range(5)]
+    assert sorted(tuple(r) for r in catalog.reverse_deps_whole(t, spark).collect()) == [(i, i + 1) for i in range(6)]
+    assert {r["symbol"] for r in catalog.enclosing_symbol_whole(t, spark).collect()} == {f"f{v}" for v in chain}
+    assert {(r["path"], r["symbol"]) for r in catalog.search_code(t, spark).collect()} == {("/p/7.ts", "f7"), ("/p/x.ts", None)}
