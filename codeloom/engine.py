@@ -90,14 +90,17 @@ class Engine:
 
     def get_communities(self) -> DataFrame:
         found = communities.summary(communities.symmetrised(self.edges), communities.detect(self.nodes, self.edges))
-        return found.where("n_members > 1").orderBy(F.desc("n_members"), "community").limit(50)
+        return communities.largest(found)
 
     def get_architecture(self) -> DataFrame:
         folders = relational.module_structure(self.nodes, self.root).select(F.lit("folder").alias("part"), F.col("folder").alias("item"), F.col("files").alias("value"))
         entries = relational.entry_points(self.nodes).select(F.lit("entry"), "qualified_name", F.lit(1).cast("long"))
         hubs = relational.hubs(self.edges).join(self.nodes.select("node_id", "qualified_name"), "node_id").select(F.lit("hub"), "qualified_name", "callers")
         languages = self.files.groupBy("language").agg(F.count("*").alias("n")).select(F.lit("language"), "language", "n")
-        return folders.union(entries).union(hubs).union(languages)
+        counts = self.get_index_status().select(F.lit("count"), "metric", "value")
+        total = relational.all_entry_points(self.nodes).agg(F.count("*").alias("n")).select(F.lit("entry_total"), F.lit("all"), "n")
+        groups = self.get_communities().select(F.lit("community"), F.col("community").cast("string"), "n_members")
+        return folders.union(entries).union(hubs).union(languages).union(counts).union(total).union(groups)
 
     def get_git_impact(self, paths: list[str]) -> DataFrame:
         """``paths``: the files that a diff names."""

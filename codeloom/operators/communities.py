@@ -130,3 +130,8 @@ def detect(nodes: DataFrame, edges: DataFrame, levels: int = 10, least_gain: flo
         graph = cut(contract(graph, inner))
     least = mapping.groupBy("community").agg(F.min("node_id").alias("least"))
     return mapping.join(least, "community").select("node_id", F.col("least").alias("community"))
+
+
+def largest(found: DataFrame, n: int = 50) -> DataFrame:
+    """Of a summary the communities with more than one member, largest first."""
+    return found.where("n_members > 1").orderBy(F.desc("n_members"), "community").limit(n)

@@ -39,9 +39,13 @@ def hubs(edges: DataFrame, n: int = 10) -> DataFrame:
     return known.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("callers")).orderBy(F.desc("callers"), "node_id").limit(n)
 
 
-def entry_points(nodes: DataFrame, n: int = 20) -> DataFrame:
+def all_entry_points(nodes: DataFrame) -> DataFrame:
     exported = F.col("is_exported") & (F.col("kind") == "function") & ~F.col("name").startswith("test_") & ~F.col("name").startswith("bench_")
-    return nodes.where((F.col("name") == "main") | exported).orderBy("path", "line_start", "node_id").limit(n)
+    return nodes.where((F.col("name") == "main") | exported)
+
+
+def entry_points(nodes: DataFrame, n: int = 20) -> DataFrame:
+    return all_entry_points(nodes).orderBy("path", "line_start", "node_id").limit(n)
 
 
 def module_structure(nodes: DataFrame, root: str) -> DataFrame:

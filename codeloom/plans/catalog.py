@@ -534,6 +534,16 @@ def architecture(t, spark):
     return folders.unionByName(top).unionByName(langs)
 
 
+@query()
+def architecture_whole(t, spark):
+    """All five parts; communities are of the sparse graph, as in ``communities``."""
+    counts = R.index_status(t("doc_files"), t("sym"), t("edg"), t("imp")).select(F.lit("count").alias("part"), F.col("metric").alias("item"), "value")
+    entries = R.entry_points(t("sym")).select(F.lit("entry"), "qualified_name", F.lit(1).cast("long"))
+    total = R.all_entry_points(t("sym")).agg(F.count("*").alias("n")).select(F.lit("entry_total"), F.lit("all"), "n")
+    groups = C.largest(C.summary(C.symmetrised(t("sparse")), C.detect(t("sym"), t("sparse"))))
+    return counts.union(architecture(t, spark)).union(entries).union(total).union(groups.select(F.lit("community"), F.col("community").cast("string"), "n_members"))
+
+
 # --- changes -------------------------------------------------------------------------------------------------
 
 

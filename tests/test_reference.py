@@ -136,3 +136,11 @@ def test_no_rows_are_left_out(spark):
     assert sorted(tuple(r) for r in catalog.reverse_deps_whole(t, spark).collect()) == [(i, i + 1) for i in range(6)]
     assert {r["symbol"] for r in catalog.enclosing_symbol_whole(t, spark).collect()} == {f"f{v}" for v in chain}
     assert {(r["path"], r["symbol"]) for r in catalog.search_code(t, spark).collect()} == {("/p/7.ts", "f7"), ("/p/x.ts", None)}
+
+
+def test_architecture_has_all_parts(engine):
+    parts = {}
+    for r in engine.query("get_architecture").collect():
+        parts.setdefault(r["part"], {})[r["item"]] = r["value"]
+    assert set(parts) == {"folder", "entry", "hub", "language", "count", "entry_total", "community"}
+    assert parts["entry_total"]["all"] == len(parts["entry"]) and parts["count"]["files"] == len(FILES) and all(n > 1 for n in parts["community"].values())
