@@ -446,7 +446,7 @@ def changed_closure(t, spark):
     return G.closure(edges, t("orders").where("o_orderkey % 100 = 3").select(F.col("o_orderkey").alias("file_id")))
 
 
-# --- the reference's default depths, without SQL: unrolled that far it is too slow ----------------------------
+# --- the reference's default depths, without SQL --------------------------------------------------------------
 
 
 @query()
