@@ -34,8 +34,8 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def tables(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, calls, imports); node ids are hashes of the qualified name and line, so they are stable over runs."""
+    """(nodes, calls, imports with the module as written); node ids are hashes of the qualified name and line, so they are stable over runs."""
     nodes = extracted.select("path", F.explode("symbols").alias("s")).select(F.xxhash64("s.qualified_name", "s.line_start").alias("node_id"), "path", "s.*")
     calls = extracted.select("path", F.explode("calls").alias("c")).select("path", "c.*")
-    imports = extracted.select("path", F.explode("imports").alias("i")).select("path", "i.*")
+    imports = extracted.select("path", F.explode("imports").alias("i")).select("path", "i.local_name", F.col("i.module_path").alias("module"))
     return nodes, calls, imports

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 from collections import deque
 
-BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.ExceptHandler, ast.match_case, ast.comprehension)
+BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.match_case)
 
 
 def _complexity(node: ast.AST) -> int:
@@ -48,7 +48,7 @@ def extract(path: str, text: str) -> dict:
             returns = ast.unparse(node.returns) if not is_class and node.returns else None
             symbols.append({
                 "kind": kind, "name": node.name, "qualified_name": qualified, "line_start": node.lineno, "line_end": node.end_lineno or node.lineno, "signature": signature,
-                "return_type": returns, "receiver_type": parent if kind == "method" else None, "is_exported": False, "complexity": 1 if is_class else _complexity(node),
+                "return_type": returns, "receiver_type": parent if kind == "method" else None, "is_exported": False, "complexity": 0 if is_class else _complexity(node),
                 "decorators": [ast.unparse(d) for d in node.decorator_list],
             })
             todo.extend((x, qualified, None if is_class else qualified, is_class) for x in node.body)
