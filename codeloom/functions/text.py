@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 import re
 
 from pyspark.sql import Column
@@ -71,8 +70,8 @@ def branch_count(text: Column, pattern: str = r"\b(if|for|while|case|catch|elif|
     return F.lit(1) + F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
-def glob_regex(glob: str) -> str:
-    """A gitignore glob as a regular expression over paths relative to the root."""
+def glob_parts(glob: str) -> tuple[bool, str, bool]:
+    """A gitignore glob as (holds for whole paths and not for names, regular expression, fits folders only)."""
     body, anchored = glob.rstrip("/"), "/" in glob.rstrip("/")
     out, i = "", 0
     body = body.lstrip("/")
@@ -85,15 +84,49 @@ def glob_regex(glob: str) -> str:
             out, i = out + "[^/]*", i + 1
         elif body[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif body[i] == "[" and (close := body.find("]", i + 2)) > 0:
+            inner = body[i + 1 : close].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", close + 1
+        elif body[i] == "\\" and i + 1 < len(body):
+            out, i = out + re.escape(body[i + 1]), i + 2
         else:
             out, i = out + re.escape(body[i]), i + 1
-    return ("^" if anchored else "(?:^|/)") + out + "(?:/|$)"
+    return anchored, out, glob.endswith("/")
+
+
+def glob_regex(glob: str) -> str:
+    """A gitignore glob as a regular expression over paths of files relative to the root: those that it fits and all in folders that it fits."""
+    anchored, body, folders = glob_parts(glob)
+    return ("^" if anchored else "(?:^|/)") + body + ("/" if folders else "(?:/|$)")
+
+
+# Language -> extension that an import may leave out.
+EXTENSIONS = {
+    "typescript": "ts", "tsx": "tsx", "javascript": "js", "jsx": "jsx", "python": "py", "rust": "rs", "go": "go", "java": "java", "csharp": "cs", "ruby": "rb", "php": "php",
+    "c": "c", "cpp": "cpp",
+}
+
+
+def folder_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def normal_path(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` parts."""
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def module_file(importer: Column, module: Column) -> Column:
+    """A relative module joined to the importing file's folder, with that language's extension if it has none; others as they are."""
+    extension = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    joined = normal_path(F.concat(folder_of(importer), F.lit("/"), module))
+    bare = ~F.regexp_extract(joined, r"([^/]*)$", 1).rlike(r"[^.]\.[^.]*$")
+    added = F.when(bare, F.concat(joined, F.lit("."), F.coalesce(F.try_element_at(extension, language_of(importer)), F.lit("ts")))).otherwise(joined)
+    return F.when(module.startswith("./") | module.startswith("../"), added).otherwise(module)
 
 
-def module_path(importer: str, module: str) -> str:
-    """A relative module joined to the importing file's folder, with its extension if it has none; others as they are."""
-    if not module.startswith(("./", "../")):
-        return module
-    joined = posixpath.normpath(posixpath.join(posixpath.dirname(importer), module))
-    extension = posixpath.splitext(importer)[1]
-    return joined if posixpath.splitext(joined)[1] else joined + extension
+def rust_candidates(importer: Column, module: Column) -> tuple[Column, Column]:
+    """The files that the first part of a Rust path may be: a sibling, or ``mod.rs`` in a folder of that name."""
+    base = F.concat(folder_of(importer), F.lit("/"), F.substring_index(module, "::", 1))
+    return F.concat(base, F.lit(".rs")), F.concat(base, F.lit("/mod.rs"))

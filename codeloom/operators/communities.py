@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import warnings
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.plans.lineage import cut
+from codeloom.plans.lineage import cut, numbered
+
+#: Entries of an adjacency (24 bytes each) that one task takes; contraction brings larger graphs there.
+LOCAL_EDGES = 1_000_000
 
 
 def symmetrised(edges: DataFrame) -> DataFrame:
@@ -54,7 +60,7 @@ def summary(adjacency: DataFrame, labels: DataFrame) -> DataFrame:
 def _moves(adjacency: DataFrame, labels: DataFrame, m2: float, parity: int | None, salt: int = 0) -> DataFrame:
     """Labels after nodes have moved to the community of most gain, if that is positive; ties to the least.
 
-    ``parity``: only the nodes of one half. None: of all nodes that would leave or enter a community only one, by a
+    ``parity``: only the nodes of one half, drawn by ``salt``. None: of all nodes that would leave or enter a community only one, by a
     hash with ``salt``, so that each move gains what it counts and modularity grows.
     """
     degree = adjacency.groupBy("a").agg(F.sum("weight").alias("k"))
@@ -76,7 +82,7 @@ def _moves(adjacency: DataFrame, labels: DataFrame, m2: float, parity: int | Non
         may = F.lit(True)
     else:
         chosen = ranked.select("node_id", F.col("to").alias("moved"))
-        may = F.pmod(F.xxhash64("node_id"), F.lit(2)) == parity
+        may = F.pmod(F.xxhash64("node_id", F.lit(salt)), F.lit(2)) == parity
     return labels.join(chosen, "node_id", "left").select("node_id", F.when(may, F.coalesce("moved", "community")).otherwise(F.col("community")).alias("community"))
 
 
@@ -84,20 +90,54 @@ def _differ(new: DataFrame, old: DataFrame) -> bool:
     return not new.alias("n").join(old.alias("o"), "node_id").where("n.community <> o.community").isEmpty()
 
 
-def settle(graph: DataFrame, m2: float, rounds: int = 4, most: int = 1000) -> DataFrame:
+def _settled(m2: float):
+    """One task: nodes in order move to the community of most gain, if that is positive, until none gains; ties to the least."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        degree: dict[int, float] = defaultdict(float)
+        for batch in batches:
+            for a, b, w in zip(batch["a"].tolist(), batch["b"].tolist(), batch["weight"].tolist(), strict=True):
+                degree[a] += w
+                if a != b:
+                    near[a].append((b, w))
+        label = {v: v for v in degree}
+        total = dict(degree)
+        order, moved = sorted(degree), True
+        while moved:
+            moved = False
+            for v in order:
+                k, own = degree[v], label[v]
+                to: dict[int, float] = defaultdict(float)
+                for u, w in near[v]:
+                    to[label[u]] += w
+                worth = lambda c, w: round(w - (total[c] - (k if c == own else 0.0)) * k / m2, 9)  # noqa: B023, E731
+                best, gain = own, worth(own, to.get(own, 0.0))
+                for c, w in sorted(to.items()):
+                    if (value := worth(c, w)) > gain:
+                        best, gain = c, value
+                if best != own:
+                    total[own] -= k
+                    total[best] += k
+                    label[v], moved = best, True
+        yield pd.DataFrame({"node_id": order, "community": [label[v] for v in order]}, dtype="int64")
+
+    return run
+
+
+def settle(graph: DataFrame, m2: float, rounds: int = 12, most: int = 1000, local: int = LOCAL_EDGES) -> DataFrame:
     """Labels of the nodes of ``graph`` from which no node gains by moving alone.
 
-    Halves of the nodes move in turn for up to ``rounds`` rounds, which is fast but may swap neighbours; then
-    moves that do not touch each other, each of which gains. After ``most`` of these a warning says that labels still move.
+    A graph of up to ``local`` entries settles in one task. In a larger one halves of the nodes, drawn anew each time, move for
+    up to ``rounds`` rounds, which is fast but may swap neighbours; then moves that do not touch each other, each
+    of which gains. After ``most`` of these a warning says that labels still move.
     """
+    if graph.count() <= local:
+        return cut(graph.select("a", "b", "weight").coalesce(1).mapInPandas(_settled(m2), "node_id long, community long"))
     # Grouping instead of a copied column: equal columns make the optimizer infer ever more constraints.
     labels = cut(graph.groupBy(F.col("a").alias("node_id")).agg(F.max("a").alias("community")))
-    for _ in range(rounds):
-        before = labels
-        for parity in (0, 1):
-            labels = cut(_moves(graph, labels, m2, parity))
-        if not _differ(labels, before):
-            return labels
+    for k in range(rounds):
+        labels = cut(_moves(graph, labels, m2, k % 2, k // 2))
     for k in range(most):
         before, labels = labels, cut(_moves(graph, labels, m2, None, k))
         if not _differ(labels, before):
@@ -106,7 +146,7 @@ def settle(graph: DataFrame, m2: float, rounds: int = 4, most: int = 1000) -> Da
     return labels
 
 
-def detect(nodes: DataFrame, edges: DataFrame, levels: int = 10, least_gain: float = 1e-6) -> DataFrame:
+def detect(nodes: DataFrame, edges: DataFrame, levels: int = 10, least_gain: float = 1e-6, local: int = LOCAL_EDGES) -> DataFrame:
     """(node_id, community) by Louvain: nodes move until none gains, communities contract and move in their turn.
 
     After the first pass up to ``levels`` more follow, until no community moves or modularity changes by less than
@@ -119,7 +159,7 @@ def detect(nodes: DataFrame, edges: DataFrame, levels: int = 10, least_gain: flo
         return labels
     graph, mapping, quality = adjacency, labels, None
     for _ in range(1 + levels):
-        inner = settle(graph, m2)
+        inner = settle(graph, m2, local=local)
         if inner.where("node_id <> community").isEmpty():
             break
         step = inner.select(F.col("node_id").alias("community"), F.col("community").alias("_to"))
@@ -135,3 +175,22 @@ def detect(nodes: DataFrame, edges: DataFrame, levels: int = 10, least_gain: flo
 def largest(found: DataFrame, n: int = 50) -> DataFrame:
     """Of a summary the communities with more than one member, largest first."""
     return found.where("n_members > 1").orderBy(F.desc("n_members"), "community").limit(n)
+
+
+def ranked(top: DataFrame) -> DataFrame:
+    """The rows of ``largest`` with their ordinal from 1 and weights to one decimal place."""
+    order = Window.orderBy(F.desc("n_members"), "community")  # over the few rows that are listed
+    return top.select(F.row_number().over(order).alias("ordinal"), "community", "n_members", "representative", F.round("internal", 1).alias("internal"), F.round("external", 1).alias("external"))
+
+
+def sizes(found: DataFrame) -> DataFrame:
+    """(item, value): communities, those of more than one member, those of one, and the members of the largest."""
+    many = F.col("n_members") > 1
+    one = found.agg(F.count("*").alias("communities"), F.count_if(many).alias("communities_of_many"), F.count_if(~many).alias("singletons"), F.coalesce(F.max("n_members"), F.lit(0)).alias("largest_community"))
+    return one.select(F.explode(F.create_map(*[x for c in one.columns for x in (F.lit(c), F.col(c).cast("long"))])).alias("item", "value"))
+
+
+def compact(labels: DataFrame) -> DataFrame:
+    """labels with communities numbered from 0 without gaps, in the order of the old numbers."""
+    known = numbered(labels.select("community").distinct(), "community")
+    return labels.join(known, "community").select("node_id", F.col("number").alias("community"))

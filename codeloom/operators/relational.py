@@ -67,11 +67,22 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: str) -> DataFrame:
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
-    """One of equal (source, target, type, file, line); rows without a target never count as equal."""
+    """One of equal (source, target, type, file, line), the surest, with its other columns; rows without a target never count as equal."""
     keys = ["source_id", "target_id", "edge_type", "path", "line"]
+    rest = ["confidence", *[c for c in edges.columns if c not in (*keys, "confidence")]]
     known = edges.where(F.col("target_id").isNotNull())
-    best = known.groupBy(*keys).agg(F.max("confidence").alias("confidence"))
-    return best.unionByName(edges.where(F.col("target_id").isNull()).select(*keys, "confidence"))
+    best = known.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest])
+    return best.unionByName(edges.where(F.col("target_id").isNull()).select(*keys, *rest))
+
+
+def delete_files(files: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of files whose path is not in ``gone``."""
+    return files.join(gone.select("path"), "path", "left_anti").select(*files.columns)
+
+
+def append(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``table`` and the rows whose key it lacks; keys that repeat among the rows come once."""
+    return table.unionByName(rows.dropDuplicates([key]).join(table.select(key), key, "left_anti").select(*table.columns))
 
 
 def delete_cascade(nodes: DataFrame, edges: DataFrame, import_edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import split_callee
@@ -21,6 +21,11 @@ def latest(nodes: DataFrame, order: str = "node_id") -> DataFrame:
     return nodes.groupBy("qualified_name").agg(F.max_by(F.struct("*"), order).alias("r")).select("r.*")
 
 
+def called_name(callee: Column) -> Column:
+    """The last part of a callee: the name that a definition of it must have."""
+    return split_callee(callee)["suffix"]
+
+
 def resolve_calls(calls: DataFrame, imports: DataFrame, nodes: DataFrame) -> DataFrame:
     """calls (call_id, path, callee, ...) with target_qualified, confidence and strategy.
 

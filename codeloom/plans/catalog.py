@@ -14,6 +14,7 @@ from codeloom.operators import relational as R
 from codeloom.operators import resolve as V
 from codeloom.operators import search as S
 from codeloom.plans.demo import oracle, view
+from codeloom.plans.lineage import cut
 from codeloom.sources.files import keep_files
 from codeloom.streaming import changes as H
 
@@ -41,15 +42,17 @@ def seeds(spark: SparkSession, *ids: int) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("node_id"))
 
 
-def levels_sql(ids: list[int], depth: int, reverse: bool, edges: str = "edg") -> str:
-    """Common table expressions l0 .. l<depth>, each without what earlier levels hold, and ``reached``."""
+def levels_sql(seeds: str, depth: int, reverse: bool, edges: str = "edg") -> str:
+    """Common table expressions l0 .. l<depth> from the query ``seeds`` (node_id), each without what earlier levels hold, and ``reached``."""
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    out = ["l0 AS (SELECT CAST(i AS BIGINT) AS seed, CAST(i AS BIGINT) AS node_id, 0 AS depth, CAST(1 AS DOUBLE) AS confidence FROM (VALUES " + ", ".join(f"({i})" for i in ids) + ") v(i))"]
+    out = [f"adj AS MATERIALIZED (SELECT {a} AS a, {b} AS b, max(confidence) AS c FROM {{{edges}}} WHERE target_id IS NOT NULL GROUP BY 1, 2)"]
+    out.append(f"l0 AS MATERIALIZED (SELECT CAST(node_id AS BIGINT) AS seed, CAST(node_id AS BIGINT) AS node_id, 0 AS depth, CAST(1 AS DOUBLE) AS confidence FROM ({seeds}) z)")
+    out.append("s0 AS MATERIALIZED (SELECT seed, node_id FROM l0)")
     for k in range(1, depth + 1):
-        before = " UNION ALL ".join(f"SELECT seed, node_id FROM l{j}" for j in range(k))
-        out.append(f"l{k} AS (SELECT f.seed, e.{b} AS node_id, {k} AS depth, max(f.confidence * e.confidence) AS confidence FROM l{k - 1} f JOIN {{{edges}}} e ON e.{a} = f.node_id WHERE (f.seed, e.{b}) NOT IN ({before}) GROUP BY f.seed, e.{b})")
+        out.append(f"l{k} AS MATERIALIZED (SELECT f.seed, e.b AS node_id, {k} AS depth, max(f.confidence * e.c) AS confidence FROM l{k - 1} f JOIN adj e ON e.a = f.node_id ANTI JOIN s{k - 1} q ON q.seed = f.seed AND q.node_id = e.b GROUP BY f.seed, e.b)")
+        out.append(f"s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT seed, node_id FROM l{k})")
     reached = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, depth + 1))
-    return "WITH " + ", ".join(out) + f", reached AS ({reached})"
+    return "WITH " + ", ".join(out) + f", reached AS MATERIALIZED ({reached})"
 
 
 # --- sources -------------------------------------------------------------------------------------------
@@ -130,6 +133,29 @@ def delete_cascade(t, spark):
     return edges.select("source_id", "target_id", F.round("confidence", 6).alias("confidence"))
 
 
+@query("SELECT node_id, path FROM {sym} WHERE path NOT LIKE '/proj/small/%'")
+def delete_cascade_nodes(t, spark):
+    files = t("sym").where("path like '/proj/small/%'").select("path", F.lit(0).cast("long").alias("file_id")).distinct()
+    return R.delete_cascade(t("sym"), t("edg"), t("imp").select(F.col("file_id").alias("importer_file_id"), F.col("needs").alias("imported_file_id")), files)[0].select("node_id", "path")
+
+
+@query("WITH gone AS (SELECT o_orderkey AS f FROM {orders} WHERE o_orderstatus = 'F') SELECT file_id AS importer_file_id, needs AS imported_file_id FROM {imp} WHERE file_id NOT IN (SELECT f FROM gone) AND needs NOT IN (SELECT f FROM gone)")
+def delete_cascade_imports(t, spark):
+    files = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("file_id"), F.lit("").alias("path"))
+    return R.delete_cascade(t("sym"), t("edg"), t("imp").select(F.col("file_id").alias("importer_file_id"), F.col("needs").alias("imported_file_id")), files)[2]
+
+
+@query("SELECT file_id, path FROM {doc_files} WHERE language <> 'fr'")
+def delete_files(t, spark):
+    return R.delete_files(t("doc_files"), t("doc_files").where("language = 'fr'")).select("file_id", "path")
+
+
+@query("SELECT node_id, name FROM {sym} WHERE kind <> 'class' UNION ALL SELECT node_id, name FROM {sym} WHERE kind = 'class'")
+def insert_nodes(t, spark):
+    old, new = t("sym").where("kind <> 'class'").select("node_id", "name"), t("sym").where("kind in ('class', 'method')").select("node_id", "name")
+    return R.append(old, new.unionByName(new), "node_id")
+
+
 @query("SELECT DISTINCT file_id AS importer_file_id, needs AS imported_file_id FROM {imp}")
 def import_edges(t, spark):
     return t("imp").select(F.col("file_id").alias("importer_file_id"), F.col("needs").alias("imported_file_id")).distinct()
@@ -185,9 +211,9 @@ def edges_in(t, spark):
     return t("multi").where("target_id = 42").select("source_id", "edge_type", "line", F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT file_id FROM {imp} WHERE needs % 1000 = 7")
+@query("SELECT needs, file_id FROM {imp}")
 def reverse_deps(t, spark):
-    return t("imp").where("needs % 1000 = 7").select("file_id")
+    return t("imp").select("needs", "file_id")
 
 
 @query("SELECT e.source_id, s.qualified_name FROM {edg} e JOIN {sym} s ON s.node_id = e.source_id WHERE e.target_id = 42")
@@ -211,9 +237,9 @@ def resolve_qname(t, spark):
     return t("sym").select("node_id", X.resolve_qname(given, "/proj").alias("resolved"))
 
 
-@query("SELECT node_id, qualified_name FROM {sym} WHERE kind IN ('function', 'method') AND NOT is_exported AND node_id NOT IN (SELECT target_id FROM {sparse}) AND name NOT IN ('main', 'initialize', 'default', 'from', 'into', 'try_into') AND NOT regexp_matches(name, '^(test_|Test|__|default_|bench_)') AND NOT ends_with(name, '_test')")
+@query("SELECT node_id, qualified_name FROM {ctor} WHERE kind IN ('function', 'method') AND NOT is_exported AND node_id NOT IN (SELECT target_id FROM {sparse}) AND string_split(qualified_name, '.')[-1] <> string_split(qualified_name, '.')[-2] AND name NOT IN ('main', 'initialize', 'default', 'from', 'into', 'try_into') AND NOT regexp_matches(name, '^(test_|Test|__|default_|bench_)') AND NOT ends_with(name, '_test')")
 def dead_code(t, spark):
-    return G.dead_code(t("sym"), t("sparse")).select("node_id", "qualified_name")
+    return G.dead_code(t("ctor"), t("sparse")).select("node_id", "qualified_name")
 
 
 @query("SELECT node_id, path, line_start FROM {sym} WHERE name = 'main' OR (is_exported AND kind = 'function' AND NOT regexp_matches(name, '^(test_|bench_)')) ORDER BY path, line_start, node_id LIMIT 20")
@@ -239,17 +265,29 @@ def find_definition(t, spark):
     return R.find_definition(t("nullable"), t("sym"), 77).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT path, CAST(i AS INT) AS line_no, trim(l[i]) AS line, CAST(NULL AS STRING) AS symbol FROM (SELECT path, string_split(content, chr(10)) AS l FROM {doc_files}), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE regexp_matches(l[i], '[0-9][0-9][0-9]')")
+LINES = """SELECT path, CAST(i AS INT) AS line_no, regexp_replace(l[i], '\\r$', '') AS line FROM (SELECT path, string_split(content, chr(10)) AS l FROM {crlf}), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE NOT (i = len(l) AND l[i] = '')"""
+
+
+@query(LINES)
+def lines_of(t, spark):
+    return S.lines_of(t("crlf"))
+
+
+# Every text is a file whose first symbols lie around its lines.
+@query(f"WITH h AS (SELECT path, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM ({LINES}) WHERE regexp_matches(line, '[0-9][0-9][0-9]')) SELECT h.path, h.line_no, h.line, min_by(s.name, s.line_start * 100000000 + s.node_id) AS symbol FROM h LEFT JOIN {{lined}} s ON s.path = h.path AND h.line_no BETWEEN s.line_start AND s.line_end GROUP BY ALL")
 def search_code(t, spark):
-    return S.search_code(t("doc_files"), "[0-9][0-9][0-9]", t("sym"), limit=None)
+    return S.search_code(t("crlf"), "[0-9][0-9][0-9]", t("lined"), limit=None)
 
 
-@query("SELECT p AS line_no, x.path, min_by(s.name, CAST(s.line_start AS BIGINT) * 100000000 + s.node_id) AS symbol FROM (SELECT path, CAST(line_start + 3 AS INT) AS p FROM {sym} WHERE node_id % 3 = 0) x JOIN {sym} s ON s.path = x.path AND x.p BETWEEN s.line_start AND s.line_end GROUP BY p, x.path")
+@query(f"SELECT path, line_no FROM ({LINES}) WHERE regexp_matches(line, 'the|der') AND ends_with(path, '.en') ORDER BY path, line_no LIMIT 50")
+def search_code_limit(t, spark):
+    return S.search_code(t("crlf"), "the|der", t("lined"), X.glob_suffix("src/**/*.en")).select("path", "line_no")
+
+
+@query("SELECT p AS line_no, x.path, min_by(s.name, CAST(s.line_start AS BIGINT) * 100000000 + s.node_id) AS symbol FROM (SELECT path, CAST(line_start + 3 AS INT) AS p FROM {sym}) x JOIN {sym} s ON s.path = x.path AND x.p BETWEEN s.line_start AND s.line_end GROUP BY p, x.path")
 def enclosing_symbol(t, spark):
-    points = t("sym").where("node_id % 3 = 0").select("path", (F.col("line_start") + 3).cast("int").alias("line_no"))
-    s = t("sym").select(F.col("path").alias("_p"), "name", "line_start", "line_end", "node_id")
-    met = points.join(s, (points["path"] == s["_p"]) & points["line_no"].between(F.col("line_start"), F.col("line_end")))
-    return met.groupBy("line_no", "path").agg(F.min_by("name", F.struct("line_start", "node_id")).alias("symbol"))
+    points = t("sym").select("path", (F.col("line_start") + 3).cast("int").alias("line_no")).distinct()
+    return S.around(points, t("sym"))
 
 
 def bm25_sql(terms: list[str]) -> str:
@@ -350,6 +388,40 @@ def registry_latest(t, spark):
     return V.latest(t("sym")).select("qualified_name", "node_id")
 
 
+#: The cascade over callees with prefixes: an alias of a module, a class in it, and paths with ``::``.
+PREFIXED = """WITH c AS MATERIALIZED (SELECT *, contains(callee, '::') AS rust, CASE WHEN contains(callee, '::') THEN regexp_extract(callee, '^(.*)::(.*?)$', 1) WHEN contains(callee, '.') THEN regexp_extract(callee, '^(.*)\\.(.*?)$', 1) END AS prefix,
+    CASE WHEN contains(callee, '::') THEN regexp_extract(callee, '^(.*)::(.*?)$', 2) WHEN contains(callee, '.') THEN regexp_extract(callee, '^(.*)\\.(.*?)$', 2) ELSE callee END AS suffix FROM {sites}),
+  p AS (SELECT *, split_part(prefix, '.', 1) AS head, CASE WHEN contains(prefix, '.') THEN substr(prefix, length(split_part(prefix, '.', 1)) + 2) END AS rest FROM c),
+  q AS MATERIALIZED (SELECT qualified_name, max(node_id) AS node_id, min(name) AS name, min(path) AS path FROM {boxed} GROUP BY qualified_name),
+  f AS MATERIALIZED (SELECT path, name, count(*) AS n, min_by(qualified_name, node_id) AS qualified_name FROM q GROUP BY path, name),
+  u AS (SELECT name, min(qualified_name) AS qualified_name FROM q GROUP BY name HAVING count(*) = 1),
+  m AS MATERIALIZED (SELECT path, local_name, min(module_path) AS module_path FROM {aliases} GROUP BY path, local_name),
+  r AS MATERIALIZED (SELECT p.*, q1.qualified_name AS t1, c1.qualified_name AS k1, q2.qualified_name AS t2, q3.qualified_name AS t3, c2.qualified_name AS k2, f.qualified_name AS same, u.qualified_name AS alone FROM p
+    LEFT JOIN m fm ON fm.path = p.path AND fm.local_name = coalesce(p.prefix, p.callee) LEFT JOIN m hm ON hm.path = p.path AND hm.local_name = p.head
+    LEFT JOIN q q1 ON q1.qualified_name = concat(fm.module_path, '.', p.suffix) AND fm.module_path IS NOT NULL
+    LEFT JOIN q q2 ON q2.qualified_name = concat(hm.module_path, '.', p.suffix) AND hm.module_path IS NOT NULL
+    LEFT JOIN q q3 ON q3.qualified_name = concat_ws('.', hm.module_path, p.rest, p.suffix) AND hm.module_path IS NOT NULL
+    LEFT JOIN f c1 ON c1.path = fm.module_path AND c1.name = p.suffix AND c1.n = 1 AND p.prefix IS NOT NULL LEFT JOIN f c2 ON c2.path = hm.module_path AND c2.name = p.suffix AND c2.n = 1 AND p.prefix IS NOT NULL
+    LEFT JOIN f ON f.path = p.path AND f.name = p.suffix LEFT JOIN u ON u.name = p.suffix AND (p.prefix IS NULL OR p.rust)),
+  s AS MATERIALIZED (SELECT site, path, callee, line, caller_qualified, coalesce(t1, k1, t2, t3, k2, same, alone) AS target_qualified,
+    CASE WHEN coalesce(t1, k1, t2, t3, k2) IS NOT NULL THEN 'ImportMap' WHEN same IS NOT NULL THEN 'SameFile' WHEN alone IS NOT NULL THEN 'GlobalUnique' ELSE 'Unresolved' END AS strategy,
+    CAST(CASE WHEN t1 IS NOT NULL THEN 0.95 WHEN k1 IS NOT NULL THEN 0.855 WHEN coalesce(t2, t3) IS NOT NULL THEN 0.95 WHEN k2 IS NOT NULL THEN 0.855 WHEN same IS NOT NULL THEN 0.85 WHEN alone IS NOT NULL THEN 0.9 ELSE 0 END AS DOUBLE) AS confidence FROM r)"""
+
+
+def prefixed(t):
+    return V.resolve_calls(t("sites"), t("aliases"), t("boxed"))
+
+
+@query(PREFIXED + " SELECT site, callee, target_qualified, strategy, round(confidence, 6) AS confidence FROM s")
+def resolve_prefixed(t, spark):
+    return prefixed(t).select("site", "callee", "target_qualified", "strategy", F.round("confidence", 6).alias("confidence"))
+
+
+@query(PREFIXED + ", ids AS (SELECT qualified_name, max(node_id) AS node_id FROM {boxed} GROUP BY qualified_name) SELECT a.node_id AS source_id, b.node_id AS target_id, 'calls' AS edge_type, s.path, s.line, round(max(confidence), 6) AS confidence FROM s JOIN ids a ON a.qualified_name = s.caller_qualified JOIN ids b ON b.qualified_name = s.target_qualified GROUP BY ALL")
+def call_edges(t, spark):
+    return R.dedup_edges(V.call_edges(prefixed(t), t("boxed"))).drop("metadata").withColumn("confidence", F.round("confidence", 6))
+
+
 @query("SELECT site, CASE WHEN site % 3 = 0 THEN module || '.x' WHEN site % 3 = 1 THEN module END AS prefix, callee AS suffix, site % 3 = 1 AS rust FROM {callsite}")
 def split_callee(t, spark):
     text = F.when(F.col("site") % 3 == 0, F.concat("module", F.lit(".x."), "callee")).when(F.col("site") % 3 == 1, F.concat("module", F.lit("::"), "callee")).otherwise(F.col("callee"))
@@ -359,40 +431,47 @@ def split_callee(t, spark):
 # --- graph -------------------------------------------------------------------------------------------------
 
 
-@query(levels_sql([42], 3, True) + " SELECT node_id, depth, round(confidence, 6) AS confidence, round(confidence / depth, 6) AS risk FROM reached")
+@query(levels_sql("SELECT 42 AS node_id", 10, True) + " SELECT node_id, depth, round(confidence, 6) AS confidence, round(confidence / depth, 6) AS risk FROM reached")
 def impact_radius(t, spark):
-    out = G.impact_radius(t("edg"), seeds(spark, 42), 3)
+    out = G.impact_radius(t("edg"), seeds(spark, 42))
     return out.select("node_id", "depth", F.round("confidence", 6).alias("confidence"), F.round("risk", 6).alias("risk"))
 
 
-@query(levels_sql([42], 3, True) + " SELECT depth, count(*) AS n_nodes, round(max(confidence / depth), 6) AS max_risk FROM reached GROUP BY depth")
+@query(levels_sql("SELECT 42 AS node_id", 10, True) + " SELECT depth, count(*) AS n_nodes, round(max(confidence / depth), 6) AS max_risk FROM reached GROUP BY depth")
 def impact_by_depth(t, spark):
-    return G.impact_by_depth(G.impact_radius(t("edg"), seeds(spark, 42), 3)).withColumn("max_risk", F.round("max_risk", 6))
+    return G.impact_by_depth(G.impact_radius(t("edg"), seeds(spark, 42))).withColumn("max_risk", F.round("max_risk", 6))
 
 
-@query(levels_sql([42], 3, False) + " SELECT node_id, depth, round(confidence, 6) AS confidence FROM reached")
+@query(levels_sql("SELECT 42 AS node_id", 20, False) + " SELECT node_id, depth, round(confidence, 6) AS confidence FROM reached")
 def forward_reachable(t, spark):
-    return G.reach(t("edg"), seeds(spark, 42), 3).select("node_id", "depth", F.round("confidence", 6).alias("confidence"))
+    return G.reach(t("edg"), seeds(spark, 42), 20).select("node_id", "depth", F.round("confidence", 6).alias("confidence"))
 
 
-@query(levels_sql([77], 2, True) + " SELECT node_id, depth, round(confidence, 6) AS confidence FROM reached")
+@query(levels_sql("SELECT 77 AS node_id", 20, True) + " SELECT node_id, depth, round(confidence, 6) AS confidence FROM reached")
 def reverse_reachable(t, spark):
-    return G.reach(t("edg"), seeds(spark, 77), 2, reverse=True).select("node_id", "depth", F.round("confidence", 6).alias("confidence"))
+    return G.reach(t("edg"), seeds(spark, 77), 20, reverse=True).select("node_id", "depth", F.round("confidence", 6).alias("confidence"))
 
 
-@query(levels_sql([7], 2, True) + " SELECT r.node_id, s.qualified_name, r.depth FROM reached r JOIN {sym} s USING (node_id)")
+@query(levels_sql("SELECT 7 AS node_id", 20, True) + " SELECT r.node_id, s.qualified_name, r.depth FROM reached r JOIN {sym} s USING (node_id)")
 def callers_transitive(t, spark):
-    return G.reach(t("edg"), seeds(spark, 7), 2, reverse=True).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
+    return G.reach(t("edg"), seeds(spark, 7), 20, reverse=True).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
 
 
-@query(levels_sql([7], 2, False) + " SELECT r.node_id, s.qualified_name, r.depth FROM reached r JOIN {sym} s USING (node_id)")
+@query(levels_sql("SELECT 7 AS node_id", 20, False) + " SELECT r.node_id, s.qualified_name, r.depth FROM reached r JOIN {sym} s USING (node_id)")
 def callees_transitive(t, spark):
-    return G.reach(t("edg"), seeds(spark, 7), 2).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
+    return G.reach(t("edg"), seeds(spark, 7), 20).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
+
+
+PATH = levels_sql("SELECT 42 AS node_id", 20, False)
+# From the end backwards, of the nodes before each the least: as many steps as the target is deep.
+STEPS = ["b0 AS MATERIALIZED (SELECT node_id, depth FROM reached WHERE node_id = 77)"] + [
+    f"b{k} AS MATERIALIZED (SELECT min(p.node_id) AS node_id, min(p.depth) AS depth FROM b{k - 1} q JOIN adj ON adj.b = q.node_id JOIN (SELECT node_id, depth FROM reached UNION ALL SELECT 42, 0) p ON p.node_id = adj.a AND p.depth = q.depth - 1 HAVING min(p.node_id) IS NOT NULL)" for k in range(1, 21)
+]
 
 
-@query(levels_sql([42], 4, False) + " SELECT CAST(coalesce(min(depth), -1) AS INT) AS hops FROM reached WHERE node_id = 77")
+@query(f"{PATH}, {', '.join(STEPS)} SELECT CAST(depth AS INT) AS hop, node_id FROM ({' UNION ALL '.join(f'SELECT * FROM b{k}' for k in range(21))}) z")
 def call_path(t, spark):
-    return G.call_path(t("edg"), 42, 77, 4).agg(F.coalesce(F.max("hop"), F.lit(-1)).alias("hops"))
+    return G.call_path(t("edg"), 42, 77).select("hop", "node_id")
 
 
 @query("SELECT a, b, round(max(w), 6) AS weight FROM (SELECT source_id AS a, target_id AS b, greatest(confidence, 0) AS w FROM {edg} UNION ALL SELECT target_id, source_id, greatest(confidence, 0) FROM {edg}) s GROUP BY a, b")
@@ -433,9 +512,9 @@ def topo_levels(t, spark):
     return G.topo_levels(t("imp"), t("orders").select(F.col("o_orderkey").alias("file_id")))
 
 
-@query("SELECT i.file_id, i.needs FROM {imp} i WHERE i.needs % 2 = 0 AND i.file_id % 2 = 0")
+@query("SELECT i.file_id, i.needs FROM {imp} i JOIN {orders} a ON a.o_orderkey = i.file_id JOIN {orders} b ON b.o_orderkey = i.needs")
 def import_deps(t, spark):
-    files = t("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("file_id"))
+    files = t("orders").select(F.col("o_orderkey").alias("file_id"))
     inside = t("imp").join(files, "file_id", "left_semi")
     return inside.join(files.withColumnRenamed("file_id", "needs"), "needs", "left_semi").select("file_id", "needs")
 
@@ -446,102 +525,54 @@ def changed_closure(t, spark):
     return G.closure(edges, t("orders").where("o_orderkey % 100 = 3").select(F.col("o_orderkey").alias("file_id")))
 
 
-# --- the reference's default depths, without SQL --------------------------------------------------------------
-
-
-@query()
-def impact_radius_whole(t, spark):
-    return G.impact_radius(t("edg"), seeds(spark, 42))
-
-
-@query()
-def impact_by_depth_whole(t, spark):
-    return G.impact_by_depth(G.impact_radius(t("edg"), seeds(spark, 42)))
-
-
-@query()
-def forward_reachable_whole(t, spark):
-    return G.reach(t("edg"), seeds(spark, 42), 20)
-
-
-@query()
-def reverse_reachable_whole(t, spark):
-    return G.reach(t("edg"), seeds(spark, 77), 20, reverse=True)
-
-
-@query()
-def callers_transitive_whole(t, spark):
-    return G.reach(t("edg"), seeds(spark, 7), 20, reverse=True).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
-
-
-@query()
-def callees_transitive_whole(t, spark):
-    return G.reach(t("edg"), seeds(spark, 7), 20).join(t("sym"), "node_id").select("node_id", "qualified_name", "depth")
-
-
-@query()
-def call_path_whole(t, spark):
-    return G.call_path(t("edg"), 42, 77).agg(F.coalesce(F.max("hop"), F.lit(-1)).alias("hops"))
+CHANGED = "SELECT node_id FROM {sym} WHERE path IN (SELECT path FROM {sym} WHERE node_id IN (5, 42))"
+IMPACT = levels_sql(CHANGED, 5, True) + f", impact AS (SELECT s.node_id, s.qualified_name, count(r.node_id) AS impacted, CASE WHEN count(r.node_id) > 20 THEN 'HIGH' WHEN count(r.node_id) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM {{sym}} s LEFT JOIN reached r ON r.seed = s.node_id WHERE s.node_id IN ({CHANGED}) GROUP BY s.node_id, s.qualified_name)"
 
 
-@query()
-def git_impact_whole(t, spark):
+def impact_of_change(t):
     return G.change_impact(t("sym"), t("edg"), t("sym").where("node_id in (5, 42)").select("path"))
 
 
-# --- without filters on ids -----------------------------------------------------------------------------------
-
-
-@query("SELECT i.file_id, i.needs FROM {imp} i JOIN {orders} a ON a.o_orderkey = i.file_id JOIN {orders} b ON b.o_orderkey = i.needs")
-def import_deps_whole(t, spark):
-    files = t("orders").select(F.col("o_orderkey").alias("file_id"))
-    inside = t("imp").join(files, "file_id", "left_semi")
-    return inside.join(files.withColumnRenamed("file_id", "needs"), "needs", "left_semi").select("file_id", "needs")
-
-
-@query("SELECT needs, file_id FROM {imp}")
-def reverse_deps_whole(t, spark):
-    return t("imp").select("needs", "file_id")
-
-
-@query("SELECT p AS line_no, x.path, min_by(s.name, CAST(s.line_start AS BIGINT) * 100000000 + s.node_id) AS symbol FROM (SELECT path, CAST(line_start + 3 AS INT) AS p FROM {sym}) x JOIN {sym} s ON s.path = x.path AND x.p BETWEEN s.line_start AND s.line_end GROUP BY p, x.path")
-def enclosing_symbol_whole(t, spark):
-    points = t("sym").select("path", (F.col("line_start") + 3).cast("int").alias("line_no"))
-    s = t("sym").select(F.col("path").alias("_p"), "name", "line_start", "line_end", "node_id")
-    met = points.join(s, (points["path"] == s["_p"]) & points["line_no"].between(F.col("line_start"), F.col("line_end")))
-    return met.groupBy("line_no", "path").agg(F.min_by("name", F.struct("line_start", "node_id")).alias("symbol"))
-
-
-CHANGED = "SELECT node_id FROM {sym} WHERE path IN (SELECT path FROM {sym} WHERE node_id IN (5, 42))"
+@query(IMPACT + " SELECT * FROM impact")
+def git_impact(t, spark):
+    return impact_of_change(t).select("node_id", "qualified_name", "impacted", "risk")
 
 
-def git_sql() -> str:
-    out = levels_sql([0], 3, True)
-    return out.replace("FROM (VALUES (0)) v(i)", f"FROM ({CHANGED}) v(i)") + f" SELECT s.node_id, s.qualified_name, count(r.node_id) AS impacted, CASE WHEN count(r.node_id) > 20 THEN 'HIGH' WHEN count(r.node_id) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM {{sym}} s LEFT JOIN reached r ON r.seed = s.node_id WHERE s.node_id IN ({CHANGED}) GROUP BY s.node_id, s.qualified_name"
+@query(IMPACT + " SELECT v.risk, count(impact.risk) AS symbols FROM (VALUES ('HIGH'), ('MEDIUM'), ('LOW')) v(risk) LEFT JOIN impact ON impact.risk = v.risk GROUP BY v.risk")
+def risk_histogram(t, spark):
+    return G.risk_histogram(impact_of_change(t))
 
 
-@query(git_sql())
-def git_impact(t, spark):
-    paths = t("sym").where("node_id in (5, 42)").select("path")
-    return G.change_impact(t("sym"), t("edg"), paths, 3)
+ARCHITECTURE = """SELECT 'count' AS part, 'files' AS item, count(*) AS value FROM {doc_files} UNION ALL SELECT 'count', 'nodes', count(*) FROM {sym} UNION ALL SELECT 'count', 'edges', count(*) FROM {edg} UNION ALL SELECT 'count', 'import_edges', count(*) FROM {imp}
+  UNION ALL SELECT 'folder', regexp_extract(path, '^/proj/([^/]+)/', 1), count(DISTINCT path) FROM {sym} GROUP BY 2 UNION ALL SELECT 'hub', CAST(target_id AS STRING), n FROM (SELECT target_id, count(*) AS n FROM {multi} GROUP BY target_id ORDER BY n DESC, target_id LIMIT 10) h
+  UNION ALL SELECT 'language', language, count(*) FROM {doc_files} GROUP BY language
+  UNION ALL SELECT 'entry', qualified_name, 1 FROM (SELECT * FROM {sym} WHERE name = 'main' OR (is_exported AND kind = 'function' AND NOT regexp_matches(name, '^(test_|bench_)')) ORDER BY path, line_start, node_id LIMIT 20) e
+  UNION ALL SELECT 'entry_total', 'all', count(*) FROM {sym} WHERE name = 'main' OR (is_exported AND kind = 'function' AND NOT regexp_matches(name, '^(test_|bench_)'))"""
 
 
-@query("SELECT 'folder' AS part, regexp_extract(path, '^/proj/([^/]+)/', 1) AS item, count(DISTINCT path) AS value FROM {sym} GROUP BY 2 UNION ALL SELECT 'hub', CAST(target_id AS STRING), n FROM (SELECT target_id, count(*) AS n FROM {multi} GROUP BY target_id ORDER BY n DESC, target_id LIMIT 10) h UNION ALL SELECT 'language', language, count(*) FROM {doc_files} GROUP BY language")
+@query(ARCHITECTURE)
 def architecture(t, spark):
+    """Counts, folders, hubs, languages and entry points; ``architecture_communities`` is the fifth part."""
+    counts = R.index_status(t("doc_files"), t("sym"), t("edg"), t("imp")).select(F.lit("count").alias("part"), F.col("metric").alias("item"), "value")
     folders = R.module_structure(t("sym"), "/proj").select(F.lit("folder").alias("part"), F.col("folder").alias("item"), F.col("files").alias("value"))
     top = R.hubs(t("multi")).select(F.lit("hub").alias("part"), F.col("node_id").cast("string").alias("item"), F.col("callers").alias("value"))
     langs = t("doc_files").groupBy("language").agg(F.count("*").alias("value")).select(F.lit("language").alias("part"), F.col("language").alias("item"), "value")
-    return folders.unionByName(top).unionByName(langs)
+    entries = R.entry_points(t("sym")).select(F.lit("entry").alias("part"), F.col("qualified_name").alias("item"), F.lit(1).cast("long").alias("value"))
+    total = R.all_entry_points(t("sym")).agg(F.count("*").alias("value")).select(F.lit("entry_total").alias("part"), F.lit("all").alias("item"), "value")
+    return counts.unionByName(folders).unionByName(top).unionByName(langs).unionByName(entries).unionByName(total)
 
 
 @query()
-def architecture_whole(t, spark):
-    """All five parts; communities are of the sparse graph, as in ``communities``."""
-    counts = R.index_status(t("doc_files"), t("sym"), t("edg"), t("imp")).select(F.lit("count").alias("part"), F.col("metric").alias("item"), "value")
-    entries = R.entry_points(t("sym")).select(F.lit("entry"), "qualified_name", F.lit(1).cast("long"))
-    total = R.all_entry_points(t("sym")).agg(F.count("*").alias("n")).select(F.lit("entry_total"), F.lit("all"), "n")
-    groups = C.largest(C.summary(C.symmetrised(t("sparse")), C.detect(t("sym"), t("sparse"))))
-    return counts.union(architecture(t, spark)).union(entries).union(total).union(groups.select(F.lit("community"), F.col("community").cast("string"), "n_members"))
+def architecture_communities(t, spark):
+    """The sizes of the communities of the sparse graph and the largest ones."""
+    found = cut(C.summary(C.symmetrised(t("sparse")), C.detect(t("sym"), t("sparse"))))
+    groups = C.ranked(C.largest(found)).select(F.lit("community").alias("part"), F.col("community").cast("string").alias("item"), F.col("n_members").alias("value"))
+    return groups.unionByName(C.sizes(found).select(F.lit("count").alias("part"), "item", "value"))
+
+
+@query("SELECT node_id, CAST(dense_rank() OVER (ORDER BY module) - 1 AS BIGINT) AS community FROM {sym}")
+def compact_labels(t, spark):
+    return C.compact(labels(t)).select("node_id", "community")
 
 
 # --- changes -------------------------------------------------------------------------------------------------

@@ -23,6 +23,13 @@ VIEWS = {
     "callsite": "SELECT l.l_orderkey * 100 + l.l_linenumber AS site, concat('Brand#', CAST(l.l_suppkey % 25 + 1 AS STRING)) AS path, s.name AS callee, l.l_partkey AS pk, s.module FROM {lineitem} l JOIN {sym} s ON s.node_id = l.l_partkey",
     "impmap": "SELECT path, callee AS local_name, min(module) AS module_path FROM {callsite} c WHERE pk % 9 = 0 GROUP BY path, callee",
     "registry": "SELECT node_id, name, concat(module, '.', name) AS qualified_name, module AS path FROM {sym} s",
+    "ctor": "SELECT node_id, kind, name, CASE WHEN node_id % 13 = 0 THEN concat(qualified_name, '.', name) ELSE qualified_name END AS qualified_name, path, is_exported, line_start FROM {sym} s",
+    "crlf": "SELECT path, CASE file_id % 3 WHEN 0 THEN concat(replace(content, chr(10), concat(chr(13), chr(10))), chr(10)) WHEN 1 THEN concat(content, chr(10)) ELSE content END AS content FROM {doc_files} d",
+    "lined": "SELECT f.path, s.node_id, s.name, CAST(1 + s.node_id % 7 AS INT) AS line_start, CAST(1 + s.node_id % 7 + s.node_id % 40 AS INT) AS line_end FROM {doc_files} f JOIN {sym} s ON s.node_id BETWEEN f.file_id AND f.file_id + 2",
+    "boxed": "SELECT node_id, name, module AS path, CASE WHEN node_id % 3 = 0 THEN concat(module, '.Box.', name) ELSE concat(module, '.', name) END AS qualified_name FROM {sym} s",
+    "aliases": "SELECT path, concat('m', CAST(pk % 9 AS STRING)) AS local_name, min(module) AS module_path FROM {callsite} c WHERE pk % 9 < 7 GROUP BY path, concat('m', CAST(pk % 9 AS STRING))",
+    "sites": """SELECT site, path, line, caller_qualified, CASE site % 6 WHEN 0 THEN concat('m', CAST(pk % 9 AS STRING), '.', callee) WHEN 1 THEN concat('m', CAST(pk % 9 AS STRING), '.Box.', callee) WHEN 2 THEN concat('m', CAST(pk % 9 AS STRING), '::', callee)
+        WHEN 3 THEN concat('zz.', callee) WHEN 4 THEN concat('zz::', callee) ELSE callee END AS callee FROM (SELECT c.site, c.path, c.callee, c.pk, CAST(c.site % 50 AS INT) AS line, b.caller_qualified FROM {callsite} c LEFT JOIN (SELECT path, min(qualified_name) AS caller_qualified FROM {boxed} GROUP BY path) b ON b.path = c.path) s""",
     "changes": "SELECT event_id, user_id AS path, ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'remove' ELSE 'modify' END AS kind, md5(props) AS content_hash FROM {events}",
 }
 
@@ -50,7 +57,7 @@ def oracle(sql: str) -> str:
 
     visit(sql)
     plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text)
-    head = ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
+    head = ", ".join(f"{n} AS MATERIALIZED ({plain(VIEWS[n])})" for n in order)
     body = plain(sql)
     if not head:
         return body

@@ -7,7 +7,7 @@ NODES = (
 )
 EDGES = "source_id bigint, target_id bigint, edge_type string, confidence double, path string, line int, metadata string"
 CALLS = "path string, callee string, line int, col int, caller_qualified string"
-IMPORTS = "path string, local_name string, module_path string"
+IMPORTS = "path string, local_name string, module string, module_path string"
 IMPORT_EDGES = "importer_file_id bigint, imported_file_id bigint"
 EXTRACTED = (
     "path string, symbols array<struct<kind:string,name:string,qualified_name:string,line_start:int,line_end:int,signature:string,return_type:string,"

@@ -1,16 +1,16 @@
-"""The change stream: sessions by silence, hash deduplication, and applying batches of changes.
+"""The change stream: sessions by silence, hash deduplication, and the state that changes leave.
 
 changes: (event_id, path, ts, kind, content_hash); kind is create, modify or remove.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.plans.lineage import new_path
+
 
 def sessions(changes: DataFrame, gap: str = "150 milliseconds", late: str | None = None) -> DataFrame:
     """(path, started, n_events, kinds, removed): events of a path until it is silent for ``gap``. Works on streams with ``late`` set."""
@@ -44,35 +44,10 @@ def current(changes: DataFrame) -> DataFrame:
     return last.where("l.kind <> 'remove'").select("path", "l.content_hash", "l.ts")
 
 
-class ChangeApplier:
-    """``foreachBatch`` function: each batch makes the next version of a state table, a folder of its own.
-
-    A batch that is delivered again writes the same version, so its effect is that of one delivery.
-    """
-
-    def __init__(self, folder: str):
-        self.folder = folder.rstrip("/")
-
-    def version(self, batch: int) -> str:
-        return f"{self.folder}/v={batch}"
-
-    def __call__(self, changes: DataFrame, batch: int) -> None:
-        spark = changes.sparkSession
-        state = changes.select("event_id", "path", "ts", "kind", "content_hash")
-        if batch:
-            old = spark.read.parquet(self.version(batch - 1))
-            state = state.unionByName(old)
-        last = state.groupBy("path").agg(F.max_by(F.struct("event_id", "ts", "kind", "content_hash"), F.struct("ts", "event_id")).alias("l"))
-        last.select("path", "l.*").write.mode("overwrite").parquet(self.version(batch))
-
-    def read(self, spark, batch: int) -> DataFrame:
-        return spark.read.parquet(self.version(batch)).where("kind <> 'remove'")
-
-
 def stream_counts(changes: DataFrame) -> DataFrame:
     """Run the changes as a stream to its present end and return the counts by path that it leaves."""
     spark = changes.sparkSession
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/codeloom').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     changes.write.parquet(f"{base}/in")
     source = spark.readStream.schema(changes.schema).parquet(f"{base}/in")
     counted = source.groupBy("path").agg(F.count("*").alias("n_events"), F.count_if(F.col("kind") == "remove").alias("n_removed"))

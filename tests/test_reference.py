@@ -4,9 +4,10 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.engine import Engine
-from codeloom.functions.text import glob_regex, glob_suffix, module_path
+from codeloom.functions.text import glob_regex, glob_suffix, module_file
 from codeloom.operators import communities
 from codeloom.plans import catalog
 
@@ -36,11 +37,11 @@ def test_query_matches_sql(spark, name):
 
 
 FILES = [
-    ("/p/main.ts", "typescript", "import { add } from './math';\nimport { helper } from './util';\n\nexport function main() {\n  add(1, 2);\n  helper();\n  arr.push(1);\n}\n"),
-    ("/p/math.ts", "typescript", "export function add(a: number, b: number) {\n  if (a && b) { return a; }\n  return a + b;\n}\n"),
-    ("/p/util.ts", "typescript", "export function helper() {\n  return step();\n}\nfunction step() {\n  return 1;\n}\nfunction dead_function() {\n  return 2;\n}\n"),
-    ("/p/calc.py", "python", "from .tool import run\n\nclass Calc:\n    def go(self):\n        return run(1)\n"),
-    ("/p/tool.py", "python", "def run(x):\n    return x if x else 0\n"),
+    ("/p/till.ts", "typescript", "import { total } from './cart';\nimport { print as show } from './paper';\n\nexport function close() {\n  total([3, 4]);\n  show();\n  queue.flush();\n}\n"),
+    ("/p/cart.ts", "typescript", "export function total(prices: number[]) {\n  if (prices && prices.length) { return prices[0]; }\n  return 0;\n}\n"),
+    ("/p/paper.ts", "typescript", "export function print() {\n  return feed();\n}\nfunction feed() {\n  return 7;\n}\nfunction forgotten() {\n  return 2;\n}\n"),
+    ("/p/stock.py", "python", "from .scan import read\n\nclass Stock:\n    def count(self):\n        return read(1)\n"),
+    ("/p/scan.py", "python", "def read(x):\n    return x if x else 0\n"),
 ]
 
 
@@ -51,28 +52,52 @@ def engine(spark):
 
 def test_project(engine):
     names = {r["qualified_name"] for r in engine.nodes.collect()}
-    assert {"/p/main.ts.main", "/p/math.ts.add", "/p/util.ts.helper", "/p/util.ts.dead_function", "/p/calc.py.Calc.go", "/p/tool.py.run"} <= names
+    assert names == {"/p/till.ts.close", "/p/cart.ts.total", "/p/paper.ts.print", "/p/paper.ts.feed", "/p/paper.ts.forgotten", "/p/stock.py.Stock", "/p/stock.py.Stock.count", "/p/scan.py.read"}
     strategies = {(r["callee"], r["strategy"]) for r in engine.calls.collect()}
-    assert {("add", "ImportMap"), ("helper", "ImportMap"), ("step", "SameFile"), ("run", "ImportMap"), ("arr.push", "Unresolved")} <= strategies
-    assert [r["name"] for r in engine.query("detect_dead_code").collect() if r["path"].endswith(".ts")] == ["dead_function"]
-    assert engine.query("get_call_path", {"source": "main.ts.main", "target": "util.ts.step"}).count() == 3
-    assert {r["name"] for r in engine.query("get_impact_radius", {"source": "util.ts.step"}).collect()} == {"helper", "main"}
-    assert engine.query("find_definition", {"caller_qualified_name": "main.ts.main", "call_line": "5"}).first()["definition"] == "/p/math.ts.add"
-    assert engine.query("search_symbols", {"query": "help"}).first()["name"] == "helper"
-    assert engine.query("search_code", {"pattern": "return", "file_glob": "math.ts"}).count() == 2
-    assert engine.query("get_symbol", {"qualified_name": "math.ts.add"}).first()["callers"] == 1
-    assert engine.query("get_communities").count() >= 1
+    assert {("total", "ImportMap"), ("feed", "SameFile"), ("read", "ImportMap"), ("queue.flush", "Unresolved")} <= strategies
+    assert [r["name"] for r in engine.query("detect_dead_code").collect() if r["path"].endswith(".ts")] == ["forgotten"]
+    assert engine.query("get_call_path", {"source": "stock.py.Stock.count", "target": "scan.py.read"}).count() == 2
+    assert {r["name"] for r in engine.query("get_impact_radius", {"source": "cart.ts.total"}).collect()} == {"close"}
+    assert engine.query("find_definition", {"caller_qualified_name": "till.ts.close", "call_line": "5"}).first()["definition"] == "/p/cart.ts.total"
+    assert engine.query("search_symbols", {"query": "tot"}).first()["name"] == "total"
+    assert engine.query("search_code", {"pattern": "return", "file_glob": "cart.ts"}).count() == 2
+    assert engine.query("get_symbol", {"qualified_name": "cart.ts.total"}).first()["callers"] == 1
     with pytest.raises(ValueError):
         engine.query("nothing")
+    with pytest.raises(ValueError, match="invalid pattern"):
+        engine.query("search_code", {"pattern": "("})
+
+
+def test_other_tools(engine):
+    callers = engine.query("get_callers", {"source": "scan.py.read"}).collect()
+    assert [(r["qualified_name"], r["file"], r["line"], r["depth"], r["confidence"]) for r in callers] == [("/p/stock.py.Stock.count", "/p/stock.py", 5, 1, 0.95)]
+    assert [(r["name"], r["line"]) for r in engine.query("get_callees", {"source": "till.ts.close"}).collect()] == [("total", 5)]
+    assert [r["name"] for r in engine.query("get_file_outline", {"file_path": "./sub/../paper.ts"}).collect()] == ["print", "feed", "forgotten"]
+    assert [r["caller"] for r in engine.query("find_references", {"qualified_name": "/p/scan.py.read"}).collect()] == ["/p/stock.py.Stock.count"]
+    status = {r["metric"]: (r["value"], r["text"]) for r in engine.query("get_index_status").collect()}
+    assert status["files"] == (5, None) and status["nodes"] == (8, None) and status["import_edges"] == (3, None) and status["root"] == (None, "/p")
+    impact = {r["qualified_name"]: (r["impacted"], r["risk"]) for r in engine.query("get_git_impact", {"paths": ["scan.py", "cart.ts"]}).collect()}
+    assert impact == {"/p/scan.py.read": (1, "LOW"), "/p/cart.ts.total": (1, "LOW")}
+    groups = engine.query("get_communities").collect()
+    assert [r["ordinal"] for r in groups] == list(range(1, len(groups) + 1)) and all(r["n_members"] == len(r["members"]) > 1 for r in groups)
 
 
 def test_names():
     assert glob_suffix("src/**/*.rs") == ".rs" and glob_suffix("**/*.py") == ".py"
-    assert module_path("/p/a/b.ts", "../c") == "/p/c.ts" and module_path("/p/b.ts", "lodash") == "lodash"
     assert glob_regex("*.log") == r"(?:^|/)[^/]*\.log(?:/|$)"
 
 
-def test_communities_settle(spark):
+def test_module_files(spark):
+    cases = [
+        ("/p/a/b.ts", "../c", "/p/c.ts"), ("/p/b.ts", "lodash", "lodash"), ("/p/a/b.tsx", "./d/./e", "/p/a/d/e.tsx"), ("/p/a/b.ts", "./x.json", "/p/a/x.json"), ("/p/a/b.py", "./m", "/p/a/m.py"),
+        ("/p/b.js", "../../up", "/up.js"), ("/p/b.jsx", "./.hidden", "/p/.hidden.jsx"), ("/p/b.hpp", "./shape", "/p/shape.cpp"),
+    ]
+    rows = spark.createDataFrame(cases, "importer string, module string, want string").select("want", module_file(F.col("importer"), F.col("module")).alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+@pytest.mark.parametrize("local", [0, 1000])
+def test_communities_settle(spark, local):
     # A chain of cliques, with a hub over one member of each: gains are left after few rounds.
     pairs = [(5 * c + i, 5 * c + j) for c in range(6) for i in range(5) for j in range(i)] + [(5 * c, 5 * c - 1) for c in range(1, 6)] + [(100, 5 * c) for c in range(6)] + [(200 + i, 201 + i) for i in range(30)]
     adj = {}
@@ -89,9 +114,9 @@ def test_communities_settle(spark):
         return max(worth(c) for c in {label[u] for u in adj[v]}) - worth(label[v])
 
     edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "source_id long, target_id long, confidence double")
-    flat = {r["node_id"]: r["community"] for r in communities.settle(communities.symmetrised(edges), float(m2)).collect()}
+    flat = {r["node_id"]: r["community"] for r in communities.settle(communities.symmetrised(edges), float(m2), local=local).collect()}
     assert sorted(flat) == nodes and all(best(flat, v) <= 1e-6 for v in nodes)
-    found = {r["node_id"]: r["community"] for r in communities.detect(spark.createDataFrame([(v,) for v in [*nodes, 999]], "node_id long"), edges).collect()}
+    found = {r["node_id"]: r["community"] for r in communities.detect(spark.createDataFrame([(v,) for v in [*nodes, 999]], "node_id long"), edges, local=local).collect()}
     assert sorted(found) == [*nodes, 999] and found.pop(999) == 999
     assert all(c == min(v for v in found if found[v] == c) for c in found.values())
     # The greedy sequential result: one local phase, nodes in order, until none gains.
@@ -114,27 +139,28 @@ def frames(spark):
         "sym": spark.createDataFrame([(v, f"f{v}", f"q.f{v}", f"/p/{v}.ts", 1, 9) for v in chain], "node_id long, name string, qualified_name string, path string, line_start int, line_end int"),
         "orders": spark.createDataFrame([(i,) for i in range(6)], "o_orderkey long"),
         "imp": spark.createDataFrame([(i + 1, i) for i in range(6)], "file_id long, needs long"),
-        "doc_files": spark.createDataFrame([("/p/7.ts", "a 123\nb"), ("/p/x.ts", "c 456")], "path string, content string"),
+        "crlf": spark.createDataFrame([("/p/7.ts", "a 123\nb"), ("/p/x.ts", "c 456")], "path string, content string"),
     }
+    found["lined"] = found["sym"]
     return found.__getitem__, chain
 
 
 def test_whole_depths(spark):
     t, chain = frames(spark)
     at = chain.index
-    got = {r["node_id"]: r["depth"] for r in catalog.callees_transitive_whole(t, spark).collect()}
+    got = {r["node_id"]: r["depth"] for r in catalog.callees_transitive(t, spark).collect()}
     assert got == {v: at(v) - at(7) for v in chain if 0 < at(v) - at(7) <= 20}
-    assert catalog.call_path_whole(t, spark).first()["hops"] == 5
-    impact = {r["node_id"]: r["depth"] for r in catalog.impact_radius_whole(t, spark).collect()}
+    assert catalog.call_path(t, spark).agg(F.max("hop")).first()[0] == 5
+    impact = {r["node_id"]: r["depth"] for r in catalog.impact_radius(t, spark).collect()}
     assert impact == {v: at(42) - at(v) for v in chain if 0 < at(42) - at(v) <= 10}
-    assert {r["node_id"]: (r["impacted"], r["risk"]) for r in catalog.git_impact_whole(t, spark).collect()} == {42: (5, "MEDIUM")}
+    assert {r["node_id"]: (r["impacted"], r["risk"]) for r in catalog.git_impact(t, spark).collect()} == {42: (5, "MEDIUM")}
 
 
 def test_no_rows_are_left_out(spark):
     t, chain = frames(spark)
-    assert sorted(tuple(r) for r in catalog.import_deps_whole(t, spark).collect()) == [(i + 1, i) for i in range(5)]
-    assert sorted(tuple(r) for r in catalog.reverse_deps_whole(t, spark).collect()) == [(i, i + 1) for i in range(6)]
-    assert {r["symbol"] for r in catalog.enclosing_symbol_whole(t, spark).collect()} == {f"f{v}" for v in chain}
+    assert sorted(tuple(r) for r in catalog.import_deps(t, spark).collect()) == [(i + 1, i) for i in range(5)]
+    assert sorted(tuple(r) for r in catalog.reverse_deps(t, spark).collect()) == [(i, i + 1) for i in range(6)]
+    assert {r["symbol"] for r in catalog.enclosing_symbol(t, spark).collect()} == {f"f{v}" for v in chain}
     assert {(r["path"], r["symbol"]) for r in catalog.search_code(t, spark).collect()} == {("/p/7.ts", "f7"), ("/p/x.ts", None)}
 
 
@@ -142,5 +168,5 @@ def test_architecture_has_all_parts(engine):
     parts = {}
     for r in engine.query("get_architecture").collect():
         parts.setdefault(r["part"], {})[r["item"]] = r["value"]
-    assert set(parts) == {"folder", "entry", "hub", "language", "count", "entry_total", "community"}
+    assert set(parts) == {"folder", "entry", "hub", "language", "count", "entry_total", "community"} and parts["count"]["communities"] >= len(parts["community"])
     assert parts["entry_total"]["all"] == len(parts["entry"]) and parts["count"]["files"] == len(FILES) and all(n > 1 for n in parts["community"].values())
