@@ -41,10 +41,10 @@ SELECT d.doc_id,
 FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id"""
 
 
-def _quality(r: LineRules) -> str:
+def _quality(r: LineRules, docs: str = "documents") -> str:
     phrases = "|".join(r.boilerplate)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {docs}),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{B}+'), lambda x: x <> '') AS ws,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 runs AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i)),
@@ -67,18 +67,21 @@ SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed,
   NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND lost_chars * 100 <= word_chars * {r.lost_percent} AS kept FROM m"""
 
 
-_JACCARD = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i) WHERE len(ws) > 0),
+def _jaccard(docs: str, n: int, percent: int) -> str:
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {docs}),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - {n - 1}, 1) + 1)) AS i) WHERE len(ws) > 0),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
-  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
-reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM {docs} UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+FROM {docs} d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
-_DECONTAMINATE = r"""
-WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+
+def _decontaminate(docs: str = "documents") -> str:
+    return rf"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM {docs}),
 bw AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
 p AS (SELECT DISTINCT item, m, array_to_string(ws[i:i + m - 1], ' ') AS g FROM (SELECT *, least(len(ws), 13) AS m FROM bw), LATERAL (SELECT unnest(range(1, len(ws) - m + 2)) AS i) WHERE m > 0),
 lens AS (SELECT DISTINCT m FROM p),
@@ -110,10 +113,70 @@ def _re2(pattern: str) -> str:
     return pattern.replace("(?=[/?#]|$)", "([/?#]|$)")
 
 
+#: The order of rows within a source or shard: the first 15 hexadecimal digits of an MD5 of id and text.
+ORDER = "CAST('0x' || md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, '')))[1:15] AS BIGINT)"
+#: The table of the CRC of a byte, and the CRC of a text by it.
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc)"
+
+
+def _crc(text: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce({text}, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+def _mixing(docs: str, block_rows: int = 16) -> str:
+    """Slots by earliest deadline first, one step of the recursion for each slot of a period; places by slot and row."""
+    return f"""
+WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE concat('+', source) END AS s, {ORDER} AS ord FROM {docs}),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ord) - 1 AS r FROM o),
+n AS (SELECT s, count(*) AS n FROM o GROUP BY s),
+w AS MATERIALIZED (SELECT s, greatest(1, CAST(floor(64 * sqrt(n / (SELECT max(n) FROM n)) + 0.5) AS BIGINT)) AS c FROM n),
+src AS MATERIALIZED (SELECT list(s ORDER BY s) AS names, list(c // g ORDER BY s) AS ws, CAST(sum(c // g) AS BIGINT) AS total FROM w, (SELECT list_reduce(list(c), lambda x, y: gcd(x, y)) AS g FROM w)),
+sim(t, pick, k, nxt) AS (SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), list_transform(ws, lambda x: CAST(0 AS BIGINT)) FROM src
+  UNION ALL SELECT t + 1, p, nxt[p], list_transform(nxt, lambda v, i: CASE WHEN i = p THEN v + 1 ELSE v END) FROM (SELECT t, nxt, CAST(list_position(due, list_min(due)) AS BIGINT) AS p FROM (
+    SELECT t, nxt, list_transform(nxt, lambda v, i: CASE WHEN v < ws[i] AND (v * total) // ws[i] <= t + 1 THEN ((v + 1) * total + ws[i] - 1) // ws[i] ELSE 9000000000000000000 END) AS due FROM sim, src WHERE t + 1 < total))),
+slots AS MATERIALIZED (SELECT names[pick] AS s, ws[pick] AS c, k, t, total FROM sim, src WHERE t >= 0)
+SELECT doc_id, source, CAST(r // {block_rows} AS BIGINT) AS mix_block, CAST(((r // {block_rows}) // c) * total + t AS BIGINT) AS mix_slot,
+  CAST(row_number() OVER (ORDER BY ((r // {block_rows}) // c) * total + t, r) - 1 AS BIGINT) AS mix_position
+FROM b JOIN slots ON slots.s = b.s AND slots.k = (b.r // {block_rows}) % slots.c"""
+
+
+def _resharded(rows: str, shards: int) -> str:
+    """Of rows (doc_id, size, old, ord, ...) the shard and slot: what a shard can keep stays, the rest fills shards in order."""
+    return f"""
+WITH rows_ AS MATERIALIZED ({rows}), total AS (SELECT CAST(sum(size) AS BIGINT) AS total FROM rows_),
+caps AS (SELECT CAST(j AS BIGINT) AS j, total // {shards} + CASE WHEN j < total % {shards} THEN 1 ELSE 0 END AS cap FROM range({shards}) z(j), total),
+held AS (SELECT old, CAST(sum(size) AS BIGINT) AS b FROM rows_ GROUP BY old),
+kept AS MATERIALIZED (SELECT old, j, coalesce(b, 0) AS b, coalesce(cap, 0) AS cap, least(coalesce(b, 0), coalesce(cap, 0)) AS stay FROM held FULL JOIN caps ON old = j),
+sup AS (SELECT old, stay, b - stay AS x, sum(b - stay) OVER (ORDER BY old) AS until FROM kept WHERE old IS NOT NULL),
+dem AS (SELECT j, cap - stay AS y, sum(cap - stay) OVER (ORDER BY j) AS until FROM kept WHERE j IS NOT NULL),
+arcs AS (SELECT old, j, sup.stay, least(sup.until, dem.until) - greatest(sup.until - x, dem.until - y) AS n FROM sup JOIN dem ON sup.until - x < dem.until AND dem.until - y < sup.until),
+cuts AS (SELECT old, j, stay + sum(n) OVER (PARTITION BY old ORDER BY j) - n AS lo, stay + sum(n) OVER (PARTITION BY old ORDER BY j) AS hi FROM arcs UNION ALL SELECT old, old, 0, stay FROM kept WHERE stay > 0),
+ahead AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY old ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size // 2 AS middle FROM rows_)
+SELECT ahead.* EXCLUDE (middle), CAST(j AS INT) AS shard, CAST(row_number() OVER (PARTITION BY j ORDER BY ord) - 1 AS BIGINT) AS slot FROM ahead JOIN cuts ON cuts.old = ahead.old AND lo <= middle AND middle < hi"""
+
+
+def _op8() -> str:
+    rows = f"SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {_crc('text')} AS text_crc32, ({_crc('source')}) % 20 AS old, {ORDER} AS ord FROM documents, crc"
+    return f"WITH {CRC_TABLE} SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, slot, CAST(NULL AS INT) AS grown_shard, CAST(old AS INT) AS old_shard, old <> shard AS moved FROM ({_resharded(rows, 24)})"
+
+
+def pipeline(shards: int = 24, stretches: int = 20) -> str:
+    """The five stages one after the other, over documents whose ids are unique."""
+    rows = f"SELECT cleaned.*, strlen(coalesce(text, '')) + 8 AS size, {_crc('text')} AS text_crc32, (mix_position * {stretches}) // (SELECT count(*) FROM cleaned) AS old, mix_position AS ord FROM cleaned JOIN mix USING (doc_id), crc"
+    return f"""
+WITH {CRC_TABLE}, good AS MATERIALIZED (SELECT documents.* FROM documents JOIN ({_quality(LineRules())}) k USING (doc_id) WHERE k.kept),
+first_ AS MATERIALIZED (SELECT good.* FROM good JOIN ({_jaccard("good", 5, 80)}) k USING (doc_id) WHERE k.component_id = doc_id),
+cleaned AS MATERIALIZED (SELECT first_.* FROM first_ JOIN ({_decontaminate("first_")}) k USING (doc_id) WHERE NOT k.contaminated),
+mix AS MATERIALIZED (SELECT doc_id, mix_position FROM ({_mixing("cleaned")}))
+SELECT doc_id, text, lang, source, n_chars, size, text_crc32, 'bytes' AS law, shard, slot FROM ({_resharded(rows, shards)})"""
+
+
 SQL = {
     "op3_secret_scan": _secrets(),
     "op4_quality_rules": _quality(LineRules()),
-    "op5_ngram_jaccard_join": _JACCARD,
-    "op7_benchmark_decontamination": _DECONTAMINATE,
+    "op5_ngram_jaccard_join": _jaccard("documents", 4, 85),
+    "op7_benchmark_decontamination": _decontaminate(),
+    "op8_sharding": _op8(),
+    "op9_source_mixing": f"SELECT doc_id, source, mix_block, mix_slot, mix_position FROM ({_mixing('documents')})",
     "op10_url_filter": _urls(),
 }

@@ -12,9 +12,9 @@ from codeloom.llm.decontaminate import benchmark_hits
 from codeloom.llm.jaccard_join import JaccardJoin
 from codeloom.llm.pfair import schedule
 from codeloom.llm.quality_rules import judge
-from codeloom.llm.resharding import byte_size, old_number, order_of, place, write_affected
+from codeloom.llm.resharding import byte_size, old_number, place, rewrite, with_places
 from codeloom.llm.secret_scan import scan
-from codeloom.llm.shared import give_back, stash, table, work_folder
+from codeloom.llm.shared import content_order, stash, table, work_folder
 from codeloom.llm.url_filter import CONTRACT_RULES, PATTERN_RULES, judge_urls
 
 SHARDS = 24
@@ -64,14 +64,15 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan, and beside it the shards that gain or lose rows, written whole to the shared folder."""
     docs, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), old_number(old_shard()).alias("old_shard"), order_of().alias("_order"))
+    rows = docs.select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), old_number(old_shard()).alias("old_shard"), content_order().alias("_order"))
     placed = stash(place(rows, SHARDS), "places")
-    write_affected(give_back(docs, order_of(), placed, ["size", "old_shard", "shard", "slot", "moved"]), f"{work_folder(spark)}/shards-{uuid.uuid4().hex}")
+    changed = sorted(r["s"] for r in placed.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
+    rewrite(with_places(docs, old_shard(), content_order(), placed), f"{work_folder(spark)}/shards-{uuid.uuid4().hex}", changed, dealt=True)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", order_of().alias("_order"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", content_order().alias("_order"))
     return schedule(rows).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 
