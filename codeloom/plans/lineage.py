@@ -21,10 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables that this process has written to cut plans.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _cut_path(spark: SparkSession, label: str) -> str:
+    _written.append(new_path(spark, label))
+    return _written[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that cut plans, once the results that read them are written; how many there were."""
+    n = len(_written)
+    while _written:
+        delete_path(spark, _written.pop())
+    return n
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -36,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     The files outlive executors. Unlike a checkpointed plan, the new one has no constraints of the old one, which over
     many iterations make the optimizer infer ever more of them; and its size is known, so that small sides are broadcast.
     """
-    path = new_path(df.sparkSession, "cut")
+    path = _cut_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,7 +65,7 @@ class Levels:
         self.spark, self.paths, self.schema = spark, [], None
 
     def add(self, df: DataFrame) -> DataFrame:
-        path = new_path(self.spark, "level")
+        path = _cut_path(self.spark, "level")
         df.write.parquet(path)
         self.paths.append(path)
         self.schema = df.schema
