@@ -1,6 +1,6 @@
 """Secret scan with corpus-wide ownership: values that one owner has look live, those that many have are examples.
 
-Spans come from regular expressions within the row: the pieces between the matches
+Matches come from regular expressions within the row: the pieces between them
 (``split``) and the matches (``regexp_extract_all``) give their places. Besides the
 base kinds there are candidates, long tokens that mix cases and digits as generated keys do.
 Hashes of the values of base spans and candidates are counted by distinct owner and
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.llm.shared import second_key, stash
 
@@ -26,23 +27,36 @@ TOKEN = r"[A-Za-z0-9_+=-]{20,}"
 KINDS = ("assign", "access", "hex", "live")
 
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Array of (start, kind, end, value): all matches, by code points, end exclusive."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+def _matches(text: Column, pattern: str, kind: int, holds) -> Column:
+    """Array of (kind, pos, gap, size, value_sha256): all matches in order, with the code points between each and the one before.
+
+    The hash is null where ``holds`` (of the value) is not true: such a match only has a place.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else found
-    sizes = F.transform(found, lambda x: F.length(x))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), sizes.alias("n"), value.alias("v"))
-    # The running position is carried along with the spans so far.
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["n"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["g"] + x["n"]).alias("end"), x["v"].alias("value"))).alias("out"),
-        ),
+    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    rows = F.transform(
+        F.arrays_zip(pieces.alias("g"), found.alias("m"), value.alias("v")),
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), F.when(holds(x["v"]), F.sha2(x["v"], 256)).alias("value_sha256")),
     )
-    return F.when(text.rlike(pattern), walked["out"]).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+    return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:int,size:int,value_sha256:string>>"))
+
+
+def _located(rows: DataFrame) -> DataFrame:
+    """(row, owner, repo, start, kind, end, value_sha256) of the spans: matches that hold, and candidates that no base span overlaps.
+
+    Places are running totals over the matches of a row. Whether a base span reaches into a candidate follows from the
+    farthest end among those that start no later and the nearest start among those that start no earlier.
+    """
+    each = rows.select("row", "owner", "repo", F.explode("matches").alias("m")).select("row", "owner", "repo", "m.*").repartition("row")
+    ahead = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(ahead).cast("int")).withColumn("start", (F.col("end") - F.col("size")).cast("int")).where("value_sha256 is not null")
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    base = F.col("kind") < 3
+    each = each.withColumn("_reach", F.max(F.when(base, F.col("end"))).over(before)).withColumn("_next", F.min(F.when(base, F.col("start"))).over(behind))
+    free = (F.coalesce("_reach", F.lit(0)) <= F.col("start")) & (F.coalesce("_next", F.col("end")) >= F.col("end"))
+    return each.where(base | free).select("row", "owner", "repo", "start", "kind", "end", "value_sha256")
 
 
 def _listed(spans: Column) -> Column:
@@ -55,21 +69,17 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
 
     ``found`` has start, end, kind, value_sha256, owners and repos of each span. Null counts as an
     empty text; rows that repeat are scanned each and are of one owner. A null owner or repository
-    counts as one named so. Without rows the result is empty.
+    counts as one named so. Spans that start at one place are listed by kind. Texts of any length are scanned whole, and the work grows
+    with the matches of a text, not with their square. Without rows the result is empty; other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(
-        F.filter(_spans(text, ASSIGN, 0), lambda x: F.length(x["value"]) >= 6),
-        _spans(text, ACCESS, 1),
-        _spans(text, HEX, 2),
-    )
-    mixed = F.filter(_spans(text, TOKEN, 3), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]"))
-    df = docs.select(F.col(id_col).alias("id"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), base.alias("base"), mixed.alias("mixed"))
-    apart = F.filter("mixed", lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    hashed = F.transform(F.array_sort(F.concat("base", apart)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("value_sha256")))
-    # Only spans go on from here; the row number, fixed by the files, tells rows of one id apart.
-    rows = stash(df.select("id", "owner", "repo", hashed.alias("spans")).withColumn("row", F.monotonically_increasing_id()), "spans")
-    each = rows.select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s.*")
+    sure = lambda v: F.length(v) >= 1
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
+    matches = F.concat(_matches(text, ASSIGN, 0, lambda v: F.length(v) >= 6), _matches(text, ACCESS, 1, sure), _matches(text, HEX, 2, sure), _matches(text, TOKEN, 3, mixed))
+    # Only matches go on from here; the row number, fixed by the files, tells rows of one id apart.
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), matches.alias("matches"))
+    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "matches")
+    each = stash(_located(rows), "spans", small=True)
     counts = each.select("value_sha256", "owner", "repo").distinct().groupBy("value_sha256", "owner").agg(F.count("*").alias("r")).groupBy("value_sha256").agg(F.count("*").alias("owners"), F.sum("r").alias("repos"))
     counts = counts.withColumn("k", second_key(F.col("value_sha256")))
     known = each.withColumn("k", second_key(F.col("value_sha256"))).join(counts, ["value_sha256", "k"])
