@@ -5,24 +5,24 @@ block (from 0) no earlier than slot floor(i C / c) and before slot ceil((i + 1)
 Earliest deadline first among released blocks meets all deadlines when the weights
 add up to C, so after any number of slots each source is within one block of its share.
 The schedule repeats after C slots, so one period is computed, from the weights
-alone; every block then finds its slot by its number. When a source runs out, the
-others go on by their own weights in a further phase: no row is dropped or repeated.
+alone; every block finds its slot by its number. The slots of a source that has run out
+stay empty and are closed up: the others go on in the same pattern, each within one block of its share of the
+slots. No row is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.shared import give_back, running_totals
+from codeloom.llm.shared import content_order, give_back, plan_table, running_totals
 
-#: Sources that weights can be given for; they are listed on the driver.
-MOST_SOURCES = 10_000
+#: Slots of a period; weights must not add up to more, divided by what they have in common.
+MOST_SLOTS = 1 << 22
 #: Slots that share a row of the table of rows ahead.
 SLOT_RANGE = 4096
 
@@ -49,53 +49,37 @@ def period(weights: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
-    """For each phase and source: first block of the source in it, blocks a period, slots; until all blocks have one."""
-    left, done, first, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while any(left.values()):
-        active = {s: weights[s] for s, n in left.items() if n}
-        common = math.gcd(*active.values())
-        active = {s: c // common for s, c in active.items()}
-        slots = period(active)
-        total = sum(active.values())
-        # Whole periods until a source has less than one left, and that last one, in which slots may stay empty.
-        rounds = min(left[s] // c for s, c in active.items())
-        rounds += any(left[s] > rounds * c for s, c in active.items())
-        for s, c in active.items():
-            take = min(left[s], rounds * c)
-            out.append({"source": s, "lo": done[s], "hi": done[s] + take, "c": c, "total": total, "slot0": first, "slots": slots[s]})
-            done[s] += take
-            left[s] -= take
-        first += rounds * total
-    return out
-
-
-def tempered(counts: dict[str, int], power: float = 0.5, scale: int = 64) -> dict[str, int]:
-    """Integer weights in proportion to a power of the sizes: large sources count less than their rows."""
-    most = max(counts.values(), default=1)
-    return {s: max(1, round(scale * (n / most) ** power)) for s, n in counts.items()}
+def tempered(counts: dict[str, int], scale: int = 64) -> dict[str, int]:
+    """Integer weights in proportion to the square roots of the sizes: large sources count less than their rows.
+
+    The largest has ``scale``, or less where so many sources would make the period too long.
+    """
+    most, scale = max(counts.values(), default=1), max(1, min(scale, (MOST_SLOTS >> 2) // max(len(counts), 1)))
+    return {s: max(1, math.floor(scale * math.sqrt(n / most) + 0.5)) for s, n in counts.items()}
 
 
 def schedule(rows: DataFrame, weights: dict[str, int] | None = None, *, block_rows: int = 16, bits: int = 10) -> DataFrame:
-    """``rows`` (source, _order, ...) with mix_block, mix_slot and mix_position; nothing here needs the texts."""
+    """``rows`` (source, _order, ...) with mix_block, mix_slot and mix_position; nothing here needs the texts.
+
+    The driver holds the sources with their weights, and the slots of a period: at most MOST_SLOTS numbers.
+    """
     own = rows.columns
     # Null and text sources get distinct names.
     name = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
     rows = rows.withColumn("_source", name)
-    counts = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counts = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).toLocalIterator()}
     given = {("-" if s is None else f"+{s}"): w for s, w in (weights or {}).items()}
     chosen = tempered(counts) | {s: w for s, w in given.items() if s in counts}
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, chosen) if counts else []
-    kind = "array<struct<source:string,lo:bigint,hi:bigint,c:int,total:bigint,slot0:bigint,slots:array<int>>>"
-    table = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), kind)).alias("p")).select("p.*")
-    table = table.groupBy(F.col("source").alias("_s")).agg(F.collect_list(F.struct("lo", "hi", "c", "total", "slot0", "slots")).alias("phases"))
+    common = math.gcd(*chosen.values()) or 1
+    chosen = {s: c // common for s, c in sorted(chosen.items())}
+    total = sum(chosen.values())
+    if total > MOST_SLOTS or min(chosen.values(), default=1) < 1:
+        raise ValueError(f"weights must be positive and add up to at most {MOST_SLOTS}")
+    slots = period(chosen)
+    table, small = plan_table(rows.sparkSession, [{"s": s, "c": c, "slots": slots[s]} for s, c in chosen.items()], "s:string,c:int,slots:array<int>")
     placed = running_totals(rows, ["_source"], "_order", {"row": F.lit(1)}, bits).withColumn("mix_block", F.expr(f"row_before div {block_rows}"))
-    # The plan's size follows from the number of sources and the scale of the weights, not from the rows.
-    met = placed.join(F.broadcast(table), placed["_source"] == table["_s"], "left")
-    met = met.withColumn("_p", F.expr("filter(phases, p -> p.lo <= mix_block and mix_block < p.hi)[0]")).withColumn("_i", F.col("mix_block") - F.col("_p.lo"))
-    slot = F.expr("_p.slot0 + (_i div _p.c) * _p.total + _p.slots[cast(_i % _p.c as int)]")
+    met = placed.join(F.broadcast(table) if small else table, placed["_source"] == table["s"])
+    slot = F.expr(f"(mix_block div c) * {total}L + slots[cast(mix_block % c as int)]")
     met = met.withColumn("mix_slot", slot).select(*own, "row_before", "mix_block", "mix_slot")
     # Rows ahead: those of earlier slots, by a table with a row for each range of slots, and those of the block.
     ranged = met.groupBy("mix_slot").agg(F.count("*").alias("n")).withColumn("_range", F.expr(f"mix_slot div {SLOT_RANGE}"))
@@ -110,11 +94,12 @@ def schedule(rows: DataFrame, weights: dict[str, int] | None = None, *, block_ro
 def interleave(docs: DataFrame, weights: dict[str, int] | None = None, *, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_rows: int = 16, bits: int = 10) -> DataFrame:
     """``docs`` with mix_block (number of the block in its source), mix_slot and mix_position (gapless from 0).
 
-    ``weights``: integers of the sources; those not named, or all without the argument, follow the square root of
-    their sizes. Null is a source of its own. Which rows share a block follows from a hash of id and text;
-    rows that repeat may swap places. The order of the mix is that of mix_position. Columns of ``docs`` named like a new
-    one give way to it.
+    ``weights``: positive integers of the sources, which add up to at most MOST_SLOTS over what they have in common;
+    those not named, or all without the argument, follow the square root of their sizes. Null is a source of its own. Which
+    rows share a block follows from a hash of id and text, null counting as empty; rows that repeat may swap places. Texts
+    of any length are only read for the hash. The order of the mix is that of mix_position. An empty table gives an empty
+    result. Columns of ``docs`` named like a new one give way to it.
     """
-    order = F.xxhash64(id_col, text_col)
+    order = content_order(id_col, text_col)
     rows = docs.select(F.col(source_col).alias("source"), order.alias("_order"))
     return give_back(docs, order, schedule(rows, weights, block_rows=block_rows, bits=bits), ["mix_block", "mix_slot", "mix_position"])
