@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.shared import second_key
+
 #: The index is broadcast up to so many rules of at most PATTERN_CHARS; beyond, it is joined by shuffle.
 MOST_BROADCAST = 20_000
 PATTERN_CHARS = 500
@@ -69,9 +71,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url") ->
 
     Of fitting host rules the longest wins (of equal ones, the first listed) and is named in ``rule``. Else the
     patterns decide: allow if one that allows fits, block if one that blocks does, allow if none; ``rule`` is then null.
-    The verdict follows from the URL alone, so each distinct URL is judged once.
+    The verdict follows from the URL alone, so each distinct URL is judged once, whatever its length and however often it is there.
     A null URL, or one without ``://``, has an empty host and path and is judged by patterns (a null one is allowed).
-    Columns of ``pages`` named like a new one give way to it.
+    Without pages or rules the result is empty or all allowed. Columns of ``pages`` named like a new one give way to it.
     """
     spark = pages.sparkSession
     if any(not r.literals() for r in rules) or any(len(r.regex()) > PATTERN_CHARS for r in rules):
@@ -92,9 +94,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url") ->
         F.max(F.expr("host = '' and verdict = 'block'")).alias("blocked"),
     )
     verdict = F.when(F.col("b").isNotNull(), F.col("b.verdict")).when(F.col("blocked") & ~F.col("spared"), F.lit("block")).otherwise(F.lit("allow"))
-    found = best.select(F.col("u").alias("_u"), F.col("b.text").alias("rule"), verdict.alias("_verdict"))
-    joined = pages.select(*[f"`{c}`" for c in own]).join(found, F.col(url_col) == F.col("_u"), "left")
-    return joined.select(*[f"`{c}`" for c in own], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), "rule", F.coalesce("_verdict", F.lit("allow")).alias("verdict"))
+    found = best.select(F.col("u").alias("_u"), second_key(F.col("u")).alias("_uk"), F.col("b.text").alias("rule"), verdict.alias("_verdict"))
+    # A frequent URL is split by adaptive execution, for which both sides must be dealt anew; null ones match nothing and are spread.
+    rows = pages.select(F.struct(*[f"`{c}`" for c in own]).alias("_row"), F.col(url_col).alias("_url"))
+    rows = rows.withColumn("_k", F.when(F.col("_url").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int")).otherwise(second_key(F.col("_url"))))
+    joined = rows.join(found, (F.col("_url") == F.col("_u")) & (F.col("_k") == F.col("_uk")), "left")
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in own], host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), "rule", F.coalesce("_verdict", F.lit("allow")).alias("verdict"))
 
 
 #: The rules of the op10 query, and patterns for hosts and paths that no rule names.
