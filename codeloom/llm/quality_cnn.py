@@ -18,7 +18,9 @@ WIDTH, STRIDE, CHUNK = 16, 8, 64
 DIM, FILTERS = 8, 24
 #: Labelled texts that the network is fitted on at most.
 MOST_TEXTS = 2000
+#: Bytes that one numpy step works on, and chunks of a text that it takes at a time.
 STEP = 1 << 20
+SPAN = 1024
 
 
 class ByteCnn:
@@ -70,57 +72,54 @@ class ByteCnn:
         both = np.concatenate([np.maximum.reduceat(z, docs, axis=0), np.add.reduceat(z, docs, axis=0) / count[:, None]], axis=1)
         return raw, first, chunks, docs, x, a, z, count, both
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
-        out, i = np.zeros(len(texts)), 0
-        while i < len(encoded):
-            j, size = i, 0
-            while j < len(encoded) and (j == i or size + len(encoded[j]) <= STEP):
-                size += len(encoded[j])
-                j += 1
-            if size > 4 * STEP:
-                out[i] = self._long(encoded[i])
-            else:
-                out[i:j] = _logistic(self._pooled(encoded[i:j])[-1] @ self.p["u"] + self.p["c"])
-            i = j
-        return out
-
     @staticmethod
-    def _spans(text: bytes):
-        """Whole chunks at a time of one very long text: what is pooled over chunks adds up."""
-        span = STRIDE * CHUNK * 1024
-        return (text[a : a + span + STRIDE] for a in range(0, len(text), span))
-
-    def _pooled_long(self, text: bytes) -> tuple[np.ndarray, int]:
-        """The pooled values of one very long text, and the number of its chunks."""
-        most, total, count = np.zeros(FILTERS, np.float32), np.zeros(FILTERS), 0
-        for piece in self._spans(text):
-            z = self._pooled([piece])[6]
-            most, total, count = np.maximum(most, z.max(axis=0)), total + z.sum(axis=0), count + len(z)
-        return np.concatenate([most, total / count]), count
-
-    def _long(self, text: bytes) -> float:
-        return float(_logistic(self._pooled_long(text)[0] @ self.p["u"] + self.p["c"])[0])
+    def _pieces(texts: list[bytes]):
+        """Groups of (text, piece): whole chunks at a time, as what is pooled over chunks adds up. A group has up to STEP bytes or one piece."""
+        span, group, size = STRIDE * CHUNK * SPAN, [], 0
+        for i, t in enumerate(texts):
+            for a in range(0, max(len(t) - STRIDE, 1), span):
+                piece = t[a : a + span + STRIDE]
+                if group and size + len(piece) > STEP:
+                    yield group
+                    group, size = [], 0
+                group.append((i, piece))
+                size += len(piece)
+        if group:
+            yield group
+
+    def pooled(self, texts: list[bytes], kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The largest and the mean answers of each text, and the number of its chunks; ``kept`` gets what the first group was told by."""
+        most, total, count = np.zeros((len(texts), FILTERS), np.float32), np.zeros((len(texts), FILTERS)), np.zeros(len(texts), np.int64)
+        for group in self._pieces(texts):
+            state = self._pooled([p for _, p in group])
+            if kept is not None and not kept:
+                kept.append(state)
+            z, docs, here, owner = state[6], state[3], state[7], [i for i, _ in group]
+            np.maximum.at(most, owner, np.maximum.reduceat(z, docs, axis=0))
+            np.add.at(total, owner, np.add.reduceat(z.astype(np.float64), docs, axis=0))
+            np.add.at(count, owner, here)
+        return np.concatenate([most, (total / np.maximum(count, 1)[:, None]).astype(np.float32)], axis=1), count
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        both, _ = self.pooled([t.encode("utf-8", "surrogatepass") for t in texts])
+        return _logistic(both.astype(np.float64) @ self.p["u"].astype(np.float64) + self.p["c"])
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        long = np.array([len(t) > 4 * STEP for t in texts])
+        kept: list = []
+        both, count = self.pooled(texts, kept)
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-        if not long.all():
-            state = self._pooled([t for t, x in zip(texts, long, strict=True) if not x])
-            self._add(grad, state, state[8], state[7], y[~long], weight[~long], len(texts))
-        for i in np.flatnonzero(long):
-            both, count = self._pooled_long(texts[i])
-            for k, piece in enumerate(self._spans(texts[i])):
-                self._add(grad, self._pooled([piece]), both[None].astype(np.float32), np.array([count]), y[i : i + 1], weight[i : i + 1], len(texts), head=not k)
+        e = ((_logistic(both @ self.p["u"] + self.p["c"]) - y) * weight / len(texts)).astype(np.float32)
+        grad["u"] += both.T @ e
+        grad["c"] += e.sum(keepdims=True)
+        for group in self._pieces(texts):
+            owner = np.array([i for i, _ in group])
+            state = kept.pop() if kept else self._pooled([p for _, p in group])
+            self._add(grad, state, both[owner], count[owner], e[owner])
         return grad
 
-    def _add(self, grad: dict[str, np.ndarray], state: tuple, both: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, head: bool = True) -> None:
-        """Add the gradients of the chunks of ``state``; ``both`` and ``count`` are of their whole texts. ``head``: those of the last layer too, once a text."""
+    def _add(self, grad: dict[str, np.ndarray], state: tuple, both: np.ndarray, count: np.ndarray, e: np.ndarray) -> None:
+        """Add the gradients of the chunks of ``state``; ``both``, ``count`` and the error ``e`` are of the whole texts of its pieces."""
         raw, first, chunks, docs, x, a, z, here, _ = state
-        e = ((_logistic(both @ self.p["u"] + self.p["c"]) - y) * weight / n).astype(np.float32)
-        if head:
-            grad["u"] += both.T @ e
-            grad["c"] += e.sum(keepdims=True)
         d = e[:, None] * self.p["u"][None]
         of = np.repeat(np.arange(len(docs)), here)
         dz = (d[:, FILTERS:] / count[:, None])[of]
@@ -170,6 +169,12 @@ class ByteCnn:
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, label: str = "quality", threshold: float = 0.7, most: int = MOST_TEXTS) -> DataFrame:
-    """Fit on a sample of ``labels`` of at most ``most`` rows and score every row of ``docs``, whole texts."""
+    """Fit on a sample of ``labels`` of at most ``most`` rows and score every row of ``docs``: (id, held_out, score, predicted).
+
+    Texts of any length are learned and scored whole, in pieces that add up. Null counts as an empty text, which is one window
+    of zeros; without a label to learn from the network is as it was drawn, and scores are still from 0 to 1. Rows that repeat
+    have a row each, with equal scores; a null id is not held out. An empty table gives an empty result; other columns
+    of ``docs`` are not looked at.
+    """
     texts, y = training_sample(docs, labels, label, most)
     return score_texts(docs, ByteCnn.fit(texts, y), threshold)

@@ -59,6 +59,8 @@ class NbLinear:
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], steps: int = 150, l2: float = 1e-3) -> NbLinear:
+        if not texts:
+            return cls(np.zeros(0, np.uint64), np.zeros(0), 0.0)
         y = np.array(labels, np.float64)
         pos, neg = max(y.sum(), 1), max((1 - y).sum(), 1)
         chosen, ratios = [], []
@@ -157,6 +159,11 @@ def score_texts(docs: DataFrame, model, threshold: float, *, id_col: str = "doc_
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", threshold: float = 0.3, most: int = MOST_TEXTS) -> DataFrame:
-    """Fit on a sample of ``labels`` of at most ``most`` rows and score every row of ``docs``."""
+    """Fit on a sample of ``labels`` of at most ``most`` rows and score every row of ``docs``: (id, held_out, score, predicted).
+
+    Texts of any length are scored whole, in steps; null and empty ones, and all where there is no label to learn from, have
+    the score of the bias, which then is one half. Rows that repeat have a row each, with equal scores; a null id is
+    not held out. An empty table gives an empty result; other columns of ``docs`` are not looked at.
+    """
     texts, y = training_sample(docs, labels, label, most)
     return score_texts(docs, NbLinear.fit(texts, y), threshold)
