@@ -13,12 +13,12 @@ share ``k`` tokens among the first ``|set| - o + k`` of each.
 
 The order goes by an upper bound of the number of texts that hold a token: its own
 counter or that of its rarest word, whichever is less. Both are counted over all
-texts in a sketch of a fixed number of counters, which is all that is broadcast.
+texts in a sketch whose size follows the texts up to a bound; it and a filter of bounded size are all that is broadcast.
 
 Long lists are never expanded into all pairs. Each list has a pivot, its member with
 the fewest rarer tokens, and lists with one pivot merge. Members are first verified
 against the pivot only; components of those links leave few members apart, and only
-these meet the rest of their list. Pairs are dropped before their sets are fetched if
+these meet the rest of their list, which is split by further tokens if it is long. Pairs are dropped before their sets are fetched if
 the parity bitmaps of the two sets differ in more bits than a match allows, which
 no match can. Every link that could join two components is therefore verified.
 """
@@ -41,6 +41,11 @@ from codeloom.llm.shared import second_key, small_arrow_batches, stash
 BITMAP = 8
 #: The sketch goes through shuffles in so many pieces.
 PIECES = 64
+#: Word counters are about one for so many bytes of text, and at most 2**22 with four times as many for tokens: 84 MB are broadcast.
+SKETCH_BYTES = 512
+MOST_SKETCH_BITS = 22
+#: The filter of wanted texts has at least 8 bits for each, up to 2**28 bits: 32 MB are broadcast.
+MOST_FILTER_BITS = 28
 #: Sizes above this are large without asking for the cost: their subsets would be too many.
 MOST_SMALL = 64
 
@@ -299,19 +304,23 @@ class JaccardJoin:
     """The join over ``docs``; ``components`` and ``pairs`` are its results.
 
     ``percent``: two sets link when 100 * intersection >= percent * union. Texts
-    without words, null ones included, have empty sets and link with nothing. Rows that
-    repeat, and rows with a null id, count as documents of their own with that id.
+    without words, null ones included, have empty sets and link with nothing; texts of any length are taken whole. Rows that
+    repeat, and rows with a null id, count as documents of their own with that id. An empty table gives empty results; other
+    columns are not looked at. ``refine_above``: lists are split by further tokens beyond so many pairs to look at.
     """
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, sketch_bits: int = 20, filter_bits: int = 25):
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, sketch_bits: int | None = None, refine_above: int = 1 << 16):
         if not 50 <= percent <= 99 or ngram < 1:
             raise ValueError("percent must be in 50..99 and ngram positive")
         self.spark = docs.sparkSession
         small_arrow_batches(self.spark)
-        self.percent, self.ngram, self.filter_bits = percent, ngram, filter_bits
+        self.percent, self.ngram, self.refine_above = percent, ngram, refine_above
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.id_type = self.docs.schema["id"].dataType
         kind = self.id_type.simpleString()
+        if sketch_bits is None:
+            size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            sketch_bits = min(max((size // SKETCH_BYTES).bit_length(), 14), MOST_SKETCH_BITS)
 
         counted = stash(self.docs.mapInArrow(_count(ngram, sketch_bits), f"id {kind}, n int, h1 long, h2 long, {PIECE_SCHEMA}"), "shingles")
         self.rows = counted.where("piece is null").select("id", "n", "h1", "h2")
@@ -374,12 +383,13 @@ class JaccardJoin:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of classes, with what is known of them (p, q), that link by their whole sets."""
-        spot = F.pmod(F.xxhash64("id"), F.lit(1 << self.filter_bits))
         pairs = pairs.where("a <> b").select("a", "b", F.col("p.h").alias("ha"), F.col("q.h").alias("hb"), F.col("p.id").alias("ia"), F.col("q.id").alias("ib"))
         pairs = stash(pairs.dropDuplicates(["a", "b"]), "candidates", small=True)
+        width = min(max((16 * pairs.count()).bit_length(), 16), MOST_FILTER_BITS)
+        spot = F.pmod(F.xxhash64("id"), F.lit(1 << width))
         ids = pairs.select(F.col("ia").alias("id")).union(pairs.select("ib"))
-        marked = ids.select(spot.alias("spot")).mapInArrow(_spots(1 << self.filter_bits), PIECE_SCHEMA)
-        bits = self.spark.sparkContext.broadcast(_gathered(marked, _or_pieces, np.uint8, 1 << (self.filter_bits - 3)))
+        marked = ids.select(spot.alias("spot")).mapInArrow(_spots(1 << width), PIECE_SCHEMA)
+        bits = self.spark.sparkContext.broadcast(_gathered(marked, _or_pieces, np.uint8, 1 << (width - 3)))
         # The filter only spares work: texts that pass it by chance drop out in the join.
         texts = stash(self.docs.select(spot.alias("spot"), "text").mapInArrow(_texts_of(self.ngram, bits), "h string, packed binary"), "texts")
         first = texts.select(F.col("h").alias("hb"), F.col("packed").alias("tb"))
@@ -414,11 +424,29 @@ class JaccardJoin:
         again = self._with(self._with(again.distinct(), "a", "p"), "b", "q")
         links = stash(links.unionByName(self._verified(self._once(again)).select("a", "b")), "links", small=True)
         colored = self._roots(links, self.groups)
-        left = self._with(colored.where("cx <> cg"), "x", "p").select("g", F.col("x").alias("a"), F.col("cx").alias("ca"), "p", second_key(F.col("g")).alias("k"))
-        mixed = colored.where("cx <> cg").select("g").distinct()
-        right = self._with(colored.join(mixed, "g", "left_semi"), "x", "q").select("g", F.col("x").alias("b"), F.col("cx").alias("cb"), (F.col("cx") == F.col("cg")).alias("main"), "q", second_key(F.col("g")).alias("k"))
-        rest = left.alias("l").join(right.alias("r"), (F.col("l.g") == F.col("r.g")) & (F.col("l.k") == F.col("r.k")) & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & self._may_link("p", "q"))
-        return stash(links.unionByName(self._verified(self._once(rest)).select("a", "b")), "links", small=True)
+        return stash(links.unionByName(self._verified(self._once(self._rest(colored))).select("a", "b")), "links", small=True)
+
+    def _rest(self, colored: DataFrame) -> DataFrame:
+        """Pairs (a, p, b, q) of members outside their pivot's component with other members of the list, of another component.
+
+        In a long list of texts that do not link, that would be all pairs. Sets that link share at least two of
+        the tokens kept of them, so such a list is split by these tokens, but for the one that most of its members
+        have: they still meet in one of the others, which far fewer share.
+        """
+        counts = colored.groupBy("g").agg(F.count_if(F.col("cx") != F.col("cg")).alias("apart"), F.count("*").alias("members")).where("apart > 0")
+        mixed = stash(counts.select("g", (F.col("apart") * F.col("members") > self.refine_above).alias("long")), "mixed", small=True)
+        short = colored.join(mixed.where("not long").select("g"), "g", "left_semi").withColumn("t", F.lit(0).cast("long"))
+        tokens = colored.join(mixed.where("long").select("g"), "g", "left_semi").join(self.sets.select(F.col("uid").alias("x"), "prefix"), "x")
+        tokens = stash(tokens.select("g", "x", "cx", "cg", F.explode("prefix").alias("t")), "tokens", small=True)
+        held = tokens.groupBy("g", "t").agg(F.count("*").alias("members"), F.count_if(F.col("cx") != F.col("cg")).alias("apart"))
+        usual = held.groupBy("g").agg(F.max(F.struct("members", "t"))["t"].alias("t"))
+        lists = held.where("members > 1 and apart > 0").join(usual, ["g", "t"], "left_anti").select("g", "t")
+        members = short.unionByName(tokens.join(lists, ["g", "t"], "left_semi").select(*short.columns))
+        key = second_key(F.col("g")).alias("k")
+        left = self._with(members.where("cx <> cg"), "x", "p").select("g", "t", F.col("x").alias("a"), F.col("cx").alias("ca"), "p", key)
+        right = self._with(members, "x", "q").select("g", "t", F.col("x").alias("b"), F.col("cx").alias("cb"), (F.col("cx") == F.col("cg")).alias("main"), "q", key)
+        same = (F.col("l.g") == F.col("r.g")) & (F.col("l.t") == F.col("r.t")) & (F.col("l.k") == F.col("r.k"))
+        return left.alias("l").join(right.alias("r"), same & (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & self._may_link("p", "q"))
 
     def pairs(self) -> DataFrame:
         """(a, b, i, u): all links between classes of equal sets, with sizes of intersection and union.
