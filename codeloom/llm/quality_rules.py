@@ -71,8 +71,8 @@ def _repeated(window: int) -> Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and _lines for what follows.
 
-    Runs of words are compared by 64-bit hashes, made from the hashes of words in three steps of pairs. Most texts
-    repeat none, which the count of distinct hashes tells; only the others sort their runs.
+    Runs of words are compared by 64-bit hashes: those of the words, shifted by their place and added bit by bit, in three steps of pairs.
+    Most texts repeat none, which the count of distinct hashes tells; only the others sort their runs.
     """
     window = 8
     df = _parts(docs, text_col).withColumn("_words", F.flatten(F.transform("_lines", lambda x: x["w"])))
@@ -81,7 +81,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for step in (1, 2, 4):
         shifted = F.slice("_runs", step + 1, F.greatest(F.size("_runs") - step, F.lit(0)))
         kept = F.slice("_runs", 1, F.greatest(F.size("_runs") - step, F.lit(0)))
-        df = df.withColumn("_runs", F.zip_with(kept, shifted, lambda a, b: F.xxhash64(a, b)))
+        df = df.withColumn("_runs", F.zip_with(kept, shifted, lambda a, b: F.shiftleft(a, step).bitwiseXOR(b)))  # noqa: B023
     joined = F.array_join("_words", "")
     return df.withColumns(
         {
