@@ -29,7 +29,7 @@ NOT_CALLED = {
     "csharp": set("if for foreach while switch catch return lock using base this new fixed checked unchecked typeof sizeof default nameof when else do throw in is await".split()),
     "php": set("if elseif for foreach while switch catch return function fn new array list exit die print echo unset declare match use and or xor".split()),
     "c": set("if for while switch catch return sizeof alignof decltype typeof static_assert noexcept throw int char float double bool void long short unsigned signed auto defined else do new delete alignas operator".split()),
-    "ruby": set("if elsif unless while until case when return super yield and or not do then in def class module end begin rescue ensure else for self nil true false alias undef defined? puts=".split()),
+    "ruby": set("if elsif unless while until case when return super yield and or not do then in def class module end begin rescue ensure else for self nil true false alias undef defined?".split()),
 }
 #: Before the name of a call these words are no type, so it is no declaration.
 BEFORE_CALL = set("return else do throw case in is as await yield out ref and or not when assert instanceof co_return co_await co_yield goto delete new".split())
@@ -848,7 +848,7 @@ class Outline:
     def _ruby_method(self, i: int, owner: str | None, kind: str) -> int:
         name, last = i + 1, self.ends.get(i)
         k = name + 1
-        k = self.mate[k] + 1 if text_is(self.text, k, "(") and not self.tokens.fresh[k] else k
+        k = self.mate[k] + 1 if self.text[k] == "(" and not self.tokens.fresh[k] else k
         if last is None:  # in one line
             last = k
             while last + 1 < self.n and not self.tokens.fresh[last + 1]:
@@ -910,10 +910,6 @@ class Outline:
             self._called(i, t, parent)
 
 
-def text_is(text: list[str], k: int, wanted: str) -> bool:
-    return k < len(text) and text[k] == wanted
-
-
 def broken_python(path: str, source: str) -> tuple[list[dict], list[dict]]:
     """Classes, functions and calls of a Python file with errors, by indentation."""
     plain = re.sub(r"'''(?:.|\n)*?'''|\"\"\"(?:.|\n)*?\"\"\"|#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", lambda m: re.sub(r"[^\n]", " ", m[0]), source)
@@ -941,7 +937,7 @@ def broken_python(path: str, source: str) -> tuple[list[dict], list[dict]]:
                     s["complexity"] += len(re.findall(r"\b(?:if|elif|for|while|case|and|or)\b", line))
             caller = outer[1]["qualified_name"] if outer and outer[1]["kind"] != "class" else None
             for m in re.finditer(r"(?<![\w.@])([^\W\d]\w*(?:\.[^\W\d]\w*)*)\(", line):
-                if m[1] not in ("if", "elif", "while", "for", "return", "not", "and", "or", "in", "is", "lambda", "print=", "assert", "del", "yield", "await", "with", "except", "raise"):
+                if m[1] not in ("if", "elif", "while", "for", "return", "not", "and", "or", "in", "is", "lambda", "assert", "del", "yield", "await", "with", "except", "raise"):
                     calls.append({"callee": m[1], "line": n, "col": m.start(), "caller_qualified": caller})
     return symbols, calls
 
