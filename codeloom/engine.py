@@ -1,11 +1,12 @@
 """The query façade: index a project once, then ask by tool name; every answer is a DataFrame.
 
-The tables of an index are one version: a folder that is written whole before a pointer moves to it, so that readers see all of
+The tables of an index are one version: folders that are written whole before a pointer moves to them, so that readers see all of
 a change or nothing of it. Changes make the next version from the files that changed and what depends on them.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import posixpath
@@ -42,41 +43,41 @@ class Engine:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def _pointer(self) -> str | None:
+    def _pointer(self) -> dict | None:
         files, target = self._fs(f"{self.store}/current")
-        return read_bytes(self.spark, f"{self.store}/current").decode() if files.exists(target) else None
+        return json.loads(read_bytes(self.spark, f"{self.store}/current")) if files.exists(target) else None
 
     def open(self) -> Engine:
         """Read the current version of the store."""
-        self.version = self._pointer()
-        if self.version is None:
+        now = self._pointer()
+        if now is None:
             raise FileNotFoundError(f"{self.store} holds no index")
+        self.version = now["version"]
         for name in TABLES:
-            setattr(self, name, self.spark.read.parquet(f"{self.store}/{self.version}/{name}"))
+            setattr(self, name, self.spark.read.parquet(f"{self.store}/{now['tables'][name]}"))
         return self
 
     def commit(self, tables: dict[str, DataFrame]) -> Engine:
-        """Write the tables as a version of their own, then move the pointer to it; the version before the last one goes."""
-        fresh, last = f"v-{uuid.uuid4().hex}", self.version
-        for name in TABLES:
-            tables[name].write.parquet(f"{self.store}/{fresh}/{name}")
+        """Write the tables, then move the pointer to the version that they make with the stored ones that did not change.
+
+        What only the version before the last one used is deleted: who reads the last one still can.
+        """
+        fresh, last = f"v-{uuid.uuid4().hex}", self._pointer() if self.version else None
+        held = dict(last["tables"]) if last else {}
+        for name, table in tables.items():
+            table.write.parquet(f"{self.store}/{fresh}/{name}")
+        now = held | {name: f"{fresh}/{name}" for name in tables}
         jvm = self.spark._jvm
         files, target = self._fs(f"{self.store}/current-{fresh}")
         out = files.create(target, True)
-        out.write(bytearray(fresh.encode()))
+        out.write(bytearray(json.dumps({"version": fresh, "tables": now, "before": held}).encode()))
         out.close()
         names = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else files.getUri(), self.spark._jsc.hadoopConfiguration())
         replace = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         names.rename(target, jvm.org.apache.hadoop.fs.Path(f"{self.store}/current"), replace)
-        if last and last != fresh:
-            old = f"{self.store}/previous"
-            files, target = self._fs(old)
-            if files.exists(target):
-                delete_path(self.spark, f"{self.store}/{read_bytes(self.spark, old).decode()}")
-            out = files.create(target, True)
-            out.write(bytearray(last.encode()))
-            out.close()
+        for folder in set(last["before"].values() if last else ()) - set(held.values()) - set(now.values()):
+            delete_path(self.spark, f"{self.store}/{folder}")
         return self.open()
 
     def get_meta(self, key: str) -> str | None:
@@ -84,7 +85,7 @@ class Engine:
         return row["value"] if row else None
 
     def set_meta(self, key: str, value: str) -> Engine:
-        return self.commit({name: getattr(self, name) for name in TABLES} | {"meta": self._meta({key: value})})
+        return self.commit({"meta": self._meta({key: value})})
 
     def _meta(self, values: dict[str, str]) -> DataFrame:
         """The stored (key, value) rows with these in their place."""

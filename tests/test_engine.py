@@ -77,11 +77,13 @@ def test_versions_are_whole(spark):
     reader = Engine(spark, "/q", engine.store).open()
     engine.apply(changes(spark, ("/q/d.ts", "remove", None)))
     # Who opened the version before still reads it, who opens now reads the new one.
-    assert reader.files.count() == 5 and Engine(spark, "/q", engine.store).open().files.count() == 4
+    assert reader.files.count() == 5 and reader.get_meta("root") == "/q" and Engine(spark, "/q", engine.store).open().files.count() == 4
     engine.set_meta("note", "one").set_meta("note", "two")
     assert engine.get_meta("note") == "two" and engine.get_meta("none") is None and engine.get_meta("root") == "/q"
-    names = [x for x in os.listdir(engine.store) if x.startswith("v-")]
-    assert len(names) == 2 and not [x for x in os.listdir(engine.store) if x.startswith("current-")]
+    # Notes leave the other tables where they are; of tables that were replaced only the last ones before stay.
+    kept = [f"{v}/{t}" for v in os.listdir(engine.store) if v.startswith("v-") for t in os.listdir(f"{engine.store}/{v}")]
+    assert sum(x.endswith("/nodes") for x in kept) == 1 and sum(x.endswith("/meta") for x in kept) == 2
+    assert engine.files.count() == 4 and not [x for x in os.listdir(engine.store) if x.startswith("current-")]
     with pytest.raises(FileNotFoundError):
         Engine(spark, "/q", new_path(spark, "nothing")).open()
 
