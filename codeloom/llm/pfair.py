@@ -23,8 +23,8 @@ from codeloom.llm.shared import content_order, give_back, plan_table, running_to
 
 #: Slots of a period; weights must not add up to more, divided by what they have in common.
 MOST_SLOTS = 1 << 22
-#: Slots that share a row of the table of rows ahead.
-SLOT_RANGE = 4096
+#: Slots that share a row of the table of rows ahead, at least; in general the square root of the number of blocks.
+LEAST_RANGE = 64
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -82,7 +82,8 @@ def schedule(rows: DataFrame, weights: dict[str, int] | None = None, *, block_ro
     slot = F.expr(f"(mix_block div c) * {total}L + slots[cast(mix_block % c as int)]")
     met = met.withColumn("mix_slot", slot).select(*own, "row_before", "mix_block", "mix_slot")
     # Rows ahead: those of earlier slots, by a table with a row for each range of slots, and those of the block.
-    ranged = met.groupBy("mix_slot").agg(F.count("*").alias("n")).withColumn("_range", F.expr(f"mix_slot div {SLOT_RANGE}"))
+    wide = max(LEAST_RANGE, math.isqrt(sum(-(-n // block_rows) for n in counts.values())))
+    ranged = met.groupBy("mix_slot").agg(F.count("*").alias("n")).withColumn("_range", F.expr(f"mix_slot div {wide}"))
     sums = ranged.groupBy("_range").agg(F.sum("n").alias("here"))
     ahead = sums.select("_range", (F.sum("here").over(Window.orderBy("_range")) - F.col("here")).alias("far"))
     near = F.sum("n").over(Window.partitionBy("_range").orderBy("mix_slot")) - F.col("n")
