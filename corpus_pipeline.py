@@ -16,7 +16,7 @@ from codeloom.llm.jaccard_join import JaccardJoin
 from codeloom.llm.pfair import interleave
 from codeloom.llm.quality_rules import keep_good
 from codeloom.llm.queries import SHARDS
-from codeloom.llm.resharding import reshard
+from codeloom.llm.resharding import MOST_BLOCKS, reshard
 from codeloom.llm.shared import stash, table
 
 #: The mix lies in so many stretches of equal rows before it is cut into shards.
@@ -74,7 +74,8 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     starts = rows.groupBy("__file").agg(F.count("*").alias("n")).select("__file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__start"))
     total = max(docs.count(), 1)
     place = (F.col("__start") + F.col("__row")).alias("__place")
-    placed = rows.join(starts, "__file").select(*[f"`{c}`" for c in own], place)
+    # A row for each file; beyond the bound of a broadcast the texts are dealt by file first.
+    placed = rows.join(F.broadcast(starts) if starts.count() <= MOST_BLOCKS else starts, "__file").select(*[f"`{c}`" for c in own], place)
     # Places are gapless from 0; spread over the positive longs they cut into ranges as hashes do.
     out = reshard(placed, F.expr(f"cast(__place * {STRETCHES} div {total} as int)"), SHARDS, order=F.col("__place") * F.lit(((1 << 63) - 1) // total))
     return out.select(*[f"`{c}`" for c in own], "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot")
