@@ -41,9 +41,9 @@ from codeloom.llm.shared import second_key, small_arrow_batches, stash
 BITMAP = 8
 #: The sketch goes through shuffles in so many pieces.
 PIECES = 64
-#: Word counters are about one for so many bytes of text, and at most 2**22 with four times as many for tokens: 84 MB are broadcast.
-SKETCH_BYTES = 512
-MOST_SKETCH_BITS = 22
+#: Word counters are about one for so many bytes of text, from 2**20 to 2**22, with four times as many for tokens: 21 to 84 MB are broadcast.
+SKETCH_BYTES = 4096
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 20, 22
 #: The filter of wanted texts has at least 8 bits for each, up to 2**28 bits: 32 MB are broadcast.
 MOST_FILTER_BITS = 28
 #: Sizes above this are large without asking for the cost: their subsets would be too many.
@@ -320,7 +320,7 @@ class JaccardJoin:
         kind = self.id_type.simpleString()
         if sketch_bits is None:
             size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-            sketch_bits = min(max((size // SKETCH_BYTES).bit_length(), 14), MOST_SKETCH_BITS)
+            sketch_bits = min(max((size // SKETCH_BYTES).bit_length(), LEAST_SKETCH_BITS), MOST_SKETCH_BITS)
 
         counted = stash(self.docs.mapInArrow(_count(ngram, sketch_bits), f"id {kind}, n int, h1 long, h2 long, {PIECE_SCHEMA}"), "shingles")
         self.rows = counted.where("piece is null").select("id", "n", "h1", "h2")
