@@ -95,7 +95,7 @@ def crowded(seed):
 def test_jaccard(spark, n, percent, seed, above):
     texts = [*(crowded(3) if seed is None else variants(seed)), None, "", "one", "one"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    join = JaccardJoin(docs, ngram=n, percent=percent, refine_above=above)
+    join = JaccardJoin(docs, ngram=n, percent=percent, sketch_bits=14, refine_above=above)
     sizes, tops, links, sets = components(texts, n, percent)
     got = {r["id"]: (r["n"], r["component"]) for r in join.components().collect()}
     assert got == {i: (sizes[i], tops[i]) for i in range(len(texts))}
