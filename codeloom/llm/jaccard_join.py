@@ -330,6 +330,7 @@ class JaccardJoin:
             self.docs.mapInArrow(_prefixes(ngram, percent, sketch_bits, sketch), f"id {kind}, n int, h1 long, h2 long, bitmap array<long>, prefix array<long>, load double").withColumn("uid", F.monotonically_increasing_id()),
             "prefixes",
         )
+        sketch.unpersist()  # the workers need not keep it
         # Copies in different tasks give a set more than one uid; the smallest stands for the class.
         self.classes = stash(self.sets.groupBy("h1", "h2", "n").agg(F.min("uid").alias("uid"), F.min_by("id", "uid").alias("id"), F.min_by("bitmap", "uid").alias("bitmap")), "classes")
         self.groups = stash(self._groups(), "lists")
@@ -392,6 +393,7 @@ class JaccardJoin:
         bits = self.spark.sparkContext.broadcast(_gathered(marked, _or_pieces, np.uint8, 1 << (width - 3)))
         # The filter only spares work: texts that pass it by chance drop out in the join.
         texts = stash(self.docs.select(spot.alias("spot"), "text").mapInArrow(_texts_of(self.ngram, bits), "h string, packed binary"), "texts")
+        bits.unpersist()
         first = texts.select(F.col("h").alias("hb"), F.col("packed").alias("tb"))
         other = texts.select(F.col("h").alias("ha"), F.col("packed").alias("ta"))
         both = pairs.select("a", "b", "ha", "hb").join(first, "hb").join(other, "ha").select("a", "b", "ha", "ta", "hb", "tb")

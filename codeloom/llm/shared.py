@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of one Arrow batch. Texts can be long, so a batch must hold few of them.
-ARROW_ROWS = 500
+ARROW_ROWS = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
