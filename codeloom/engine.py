@@ -264,8 +264,9 @@ class Engine:
         return graph.dead_code(self.nodes, self.edges).orderBy("path", "line_start")
 
     def _communities(self) -> tuple[DataFrame, DataFrame]:
-        labels = communities.detect(self.nodes, self.edges)
-        return communities.summary(communities.symmetrised(self.edges), labels), labels
+        adjacency = cut(communities.symmetrised(self.edges))
+        labels = communities.detect_in(self.nodes, adjacency)
+        return communities.summary(adjacency, labels), labels
 
     def get_communities(self) -> DataFrame:
         """Communities of more than one member, largest first, with their ordinal, weights to one decimal place and members' names."""

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import warnings
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +14,19 @@ from pyspark.sql.window import Window
 
 from codeloom.plans.lineage import cut, numbered
 
-#: Entries of an adjacency (24 bytes each) that one task takes; contraction brings larger graphs there.
-LOCAL_EDGES = 1_000_000
+#: Entries of an adjacency that one task takes (in arrays, 0.5 GB with their copies); larger graphs settle in several.
+LOCAL_EDGES = 8_000_000
+#: Nodes whose neighbours a task has as lists at a time.
+SLICE = 10_000
 
 
 def symmetrised(edges: DataFrame) -> DataFrame:
     """(a, b, weight) in both directions: one edge for each pair, the largest weight of either direction, not below 0."""
     known = edges.where(F.col("target_id").isNotNull() & (F.col("source_id") != F.col("target_id")))
     weight = F.greatest(F.col("confidence"), F.lit(0.0)).alias("weight")
-    both = known.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), weight).unionByName(known.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), weight))
+    # Exploded, not a union: the edges are read and joined once.
+    ways = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))])
+    both = known.select(F.explode(ways).alias("way"), weight).select("way.a", "way.b", "weight")
     return both.groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
@@ -39,7 +44,12 @@ def contract(adjacency: DataFrame, labels: DataFrame) -> DataFrame:
 
 def modularity(adjacency: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: sum over communities of internal / 2m - (total / 2m) squared."""
-    per = labelled(adjacency, labels).groupBy("ca").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("total"))
+    return contracted_modularity(labelled(adjacency, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b"), "weight"))
+
+
+def contracted_modularity(graph: DataFrame) -> DataFrame:
+    """``modularity`` of a graph between communities, which contraction leaves as it is."""
+    per = graph.groupBy("a").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("total"))
     sums = per.agg(F.sum("total").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("total") * F.col("total")).alias("squares"))
     return sums.select((F.col("inside") / F.col("m2") - F.col("squares") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
@@ -57,12 +67,8 @@ def summary(adjacency: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("community", "n_members", (-F.col("_least")).alias("representative"), F.coalesce("internal", F.lit(0.0)).alias("internal"), F.coalesce("external", F.lit(0.0)).alias("external"))
 
 
-def _moves(adjacency: DataFrame, labels: DataFrame, m2: float, parity: int | None, salt: int = 0) -> DataFrame:
-    """Labels after nodes have moved to the community of most gain, if that is positive; ties to the least.
-
-    ``parity``: only the nodes of one half, drawn by ``salt``. None: of all nodes that would leave or enter a community only one, by a
-    hash with ``salt``, so that each move gains what it counts and modularity grows.
-    """
+def _wanted(adjacency: DataFrame, labels: DataFrame, m2: float) -> DataFrame:
+    """(node_id, community, to): nodes that gain by moving alone, and to which community most; ties to the least."""
     degree = adjacency.groupBy("a").agg(F.sum("weight").alias("k"))
     known = labels.join(degree, labels["node_id"] == degree["a"], "left").select("node_id", "community", F.coalesce("k", F.lit(0.0)).alias("k"))
     total = known.groupBy("community").agg(F.sum("k").alias("total"))
@@ -71,88 +77,115 @@ def _moves(adjacency: DataFrame, labels: DataFrame, m2: float, parity: int | Non
     options = to.unionByName(own).groupBy("node_id", "to").agg(F.sum("w").alias("w")).join(known, "node_id").join(total.withColumnRenamed("community", "to"), "to")
     held = F.col("total") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0.0)
     gain = F.round(F.col("w") - held * F.col("k") / F.lit(m2), 9)
-    best = Window.partitionBy("node_id").orderBy(F.col("gain").desc(), (F.col("to") != F.col("community")), "to")
-    ranked = options.withColumn("gain", gain).withColumn("r", F.row_number().over(best)).where("r = 1")
-    if parity is None:
-        movers = cut(ranked.where(F.col("to") != F.col("community")).select("node_id", "community", "to"))
-        ends = movers.select("node_id", F.explode(F.array("community", "to")).alias("c"))
-        first = ends.groupBy("c").agg(F.max(F.struct(F.xxhash64("node_id", F.lit(salt)).alias("h"), "node_id"))["node_id"].alias("node_id"))
-        free = first.groupBy("node_id").agg(F.count("*").alias("n")).where("n = 2")
-        chosen = movers.join(free, "node_id", "left_semi").select("node_id", F.col("to").alias("moved"))
-        may = F.lit(True)
-    else:
-        chosen = ranked.select("node_id", F.col("to").alias("moved"))
-        may = F.pmod(F.xxhash64("node_id", F.lit(salt)), F.lit(2)) == parity
-    return labels.join(chosen, "node_id", "left").select("node_id", F.when(may, F.coalesce("moved", "community")).otherwise(F.col("community")).alias("community"))
-
-
-def _differ(new: DataFrame, old: DataFrame) -> bool:
-    return not new.alias("n").join(old.alias("o"), "node_id").where("n.community <> o.community").isEmpty()
+    # The greatest struct: most gain, then staying, then the least community.
+    rank = F.struct(gain.alias("gain"), (F.col("to") == F.col("community")).alias("stays"), (-F.col("to")).alias("least"))
+    best = options.groupBy("node_id").agg(F.max(rank).alias("best"), F.first("community").alias("community"))
+    return best.where("not best.stays").select("node_id", "community", (-F.col("best.least")).alias("to"))
 
 
 def _settled(m2: float):
-    """One task: nodes in order move to the community of most gain, if that is positive, until none gains; ties to the least."""
+    """One task over (a, b, weight, community of a), sorted by a and b, with all members of each community that it sees.
+
+    Nodes in order move to the community of most gain, if that is positive, until none gains; ties to the least. No other
+    task touches these communities, so each move gains what it counts. Weights to other nodes count for degrees only.
+    Arrays hold about 50 bytes for an entry at most.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        degree: dict[int, float] = defaultdict(float)
-        for batch in batches:
-            for a, b, w in zip(batch["a"].tolist(), batch["b"].tolist(), batch["weight"].tolist(), strict=True):
-                degree[a] += w
-                if a != b:
-                    near[a].append((b, w))
-        label = {v: v for v in degree}
-        total = dict(degree)
-        order, moved = sorted(degree), True
+        parts = [tuple(batch[c].to_numpy() for c in ("a", "b", "weight", "community")) for batch in batches if len(batch)]
+        if not parts:
+            return
+        a, b, weight, old = (np.concatenate(column) for column in zip(*parts, strict=True))
+        del parts
+        nodes, start = np.unique(a, return_index=True)
+        degree = np.add.reduceat(weight, start)
+        names, own = np.unique(old[start], return_inverse=True)
+        label, total = array("q", own.tobytes()), array("d", np.bincount(own, weights=degree).tobytes())
+        at = np.minimum(np.searchsorted(nodes, b), len(nodes) - 1).astype(np.int32)
+        inside = (nodes[at] == b) & (a != b)
+        ends = np.concatenate(([0], np.cumsum(inside)))[np.append(start, len(a))]
+        near, weight = at[inside], weight[inside]
+        del a, b, old, at, inside
+        # When a community last changed, and when a node was last weighed: without a change between them it would stay again.
+        changed, weighed, clock, moved = array("q", bytes(8 * len(names))), array("q", [-1]) * len(nodes), 0, True
         while moved:
             moved = False
-            for v in order:
-                k, own = degree[v], label[v]
-                to: dict[int, float] = defaultdict(float)
-                for u, w in near[v]:
-                    to[label[u]] += w
-                worth = lambda c, w: round(w - (total[c] - (k if c == own else 0.0)) * k / m2, 9)  # noqa: B023, E731
-                best, gain = own, worth(own, to.get(own, 0.0))
-                for c, w in sorted(to.items()):
-                    if (value := worth(c, w)) > gain:
-                        best, gain = c, value
-                if best != own:
-                    total[own] -= k
-                    total[best] += k
-                    label[v], moved = best, True
-        yield pd.DataFrame({"node_id": order, "community": [label[v] for v in order]}, dtype="int64")
+            for low in range(0, len(nodes), SLICE):
+                cut_at = ends[low : low + SLICE + 1]
+                us, ws, ks = near[cut_at[0] : cut_at[-1]].tolist(), weight[cut_at[0] : cut_at[-1]].tolist(), degree[low : low + SLICE].tolist()
+                cut_at = (cut_at - cut_at[0]).tolist()
+                for i, k in enumerate(ks):
+                    v, s, e = low + i, cut_at[i], cut_at[i + 1]
+                    own, seen, around = label[v], weighed[v], [label[u] for u in us[s:e]]
+                    if changed[own] <= seen and max([changed[c] for c in around], default=0) <= seen:
+                        continue
+                    to: dict[int, float] = {}
+                    for c, w in zip(around, ws[s:e], strict=True):
+                        to[c] = to.get(c, 0.0) + w
+                    best, gain = own, round(to.pop(own, 0.0) - (total[own] - k) * k / m2, 9)
+                    for c in sorted(to):
+                        if (value := round(to[c] - total[c] * k / m2, 9)) > gain:
+                            best, gain = c, value
+                    if best != own:
+                        total[own] -= k
+                        total[best] += k
+                        clock += 1
+                        label[v], changed[own], changed[best], moved = best, clock, clock, True
+                    weighed[v] = clock
+        yield pd.DataFrame({"node_id": nodes, "community": names[np.frombuffer(label, dtype=np.int64)]})
 
     return run
 
 
-def settle(graph: DataFrame, m2: float, rounds: int = 12, most: int = 1000, local: int = LOCAL_EDGES) -> DataFrame:
+def _in_tasks(rows: DataFrame, m2: float) -> DataFrame:
+    return rows.sortWithinPartitions("a", "b").mapInPandas(_settled(m2), "node_id long, community long")
+
+
+def _dealt(movers: DataFrame, salt: int) -> DataFrame:
+    """(community, leader): communities that nodes would leave or enter, about half of which follow one that they exchange most nodes with."""
+    both = movers.select(F.explode(F.array(F.struct(F.col("community"), F.col("to").alias("other")), F.struct(F.col("to").alias("community"), F.col("community").alias("other")))).alias("p")).select("p.*")
+    leads = lambda c: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(2)) == 1
+    pairs = both.groupBy("community", "other").agg(F.count("*").alias("n"))
+    follow = F.max(F.when(leads("other"), F.struct("n", (-F.col("other")).alias("least"))))["least"]
+    return pairs.groupBy("community").agg(follow.alias("_least")).select("community", F.when(leads("community"), F.col("community")).otherwise(F.coalesce(-F.col("_least"), "community")).alias("leader"))
+
+
+def settle(graph: DataFrame, m2: float, most: int = 1000, local: int = LOCAL_EDGES) -> DataFrame:
     """Labels of the nodes of ``graph`` from which no node gains by moving alone.
 
-    A graph of up to ``local`` entries settles in one task. In a larger one halves of the nodes, drawn anew each time, move for
-    up to ``rounds`` rounds, which is fast but may swap neighbours; then moves that do not touch each other, each
-    of which gains. After ``most`` of these a warning says that labels still move.
+    A graph of up to ``local`` entries settles in one task. In a larger one, communities that nodes would leave or enter
+    are dealt to tasks, drawn anew each time so that such pairs meet, and each task settles its own; once their entries are no more than
+    ``local``, one task takes all of them. After ``most`` rounds a warning says that labels still move.
     """
     if graph.count() <= local:
-        return cut(graph.select("a", "b", "weight").coalesce(1).mapInPandas(_settled(m2), "node_id long, community long"))
+        return cut(_in_tasks(graph.select("a", "b", "weight", F.col("a").alias("community")).coalesce(1), m2))
     # Grouping instead of a copied column: equal columns make the optimizer infer ever more constraints.
     labels = cut(graph.groupBy(F.col("a").alias("node_id")).agg(F.max("a").alias("community")))
-    for k in range(rounds):
-        labels = cut(_moves(graph, labels, m2, k % 2, k // 2))
     for k in range(most):
-        before, labels = labels, cut(_moves(graph, labels, m2, None, k))
-        if not _differ(labels, before):
+        movers = cut(_wanted(graph, labels, m2))
+        if movers.isEmpty():
             return labels
+        owned = labels.join(_dealt(movers, k), "community").select(F.col("node_id").alias("a"), "community", "leader")
+        rows = cut(graph.join(owned, "a"))
+        n = rows.count()
+        tasks = 1 if n <= local else min(1 + 4 * n // max(local, 1), int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        moved = _in_tasks(rows.repartition(tasks, "leader").select("a", "b", "weight", "community"), m2).withColumnRenamed("community", "moved")
+        labels = cut(labels.join(moved, "node_id", "left").select("node_id", F.coalesce("moved", "community").alias("community")))
     warnings.warn(f"communities still move after {most} rounds", stacklevel=2)
     return labels
 
 
 def detect(nodes: DataFrame, edges: DataFrame, levels: int = 10, least_gain: float = 1e-6, local: int = LOCAL_EDGES) -> DataFrame:
-    """(node_id, community) by Louvain: nodes move until none gains, communities contract and move in their turn.
+    """``detect_in`` the symmetrised edges."""
+    return detect_in(nodes, cut(symmetrised(edges)), levels, least_gain, local)
+
+
+def detect_in(nodes: DataFrame, adjacency: DataFrame, levels: int = 10, least_gain: float = 1e-6, local: int = LOCAL_EDGES) -> DataFrame:
+    """(node_id, community) by Louvain over a written symmetrised adjacency: nodes move until none gains, communities contract and move in their turn.
 
     After the first pass up to ``levels`` more follow, until no community moves or modularity changes by less than
     ``least_gain``. Nodes without edges stay alone. The labels are those of a smallest member.
     """
-    adjacency = cut(symmetrised(edges))
     labels = cut(nodes.groupBy("node_id").agg(F.max("node_id").alias("community")))
     m2 = adjacency.agg(F.sum("weight")).first()[0]
     if not m2:
@@ -164,10 +197,10 @@ def detect(nodes: DataFrame, edges: DataFrame, levels: int = 10, least_gain: flo
             break
         step = inner.select(F.col("node_id").alias("community"), F.col("community").alias("_to"))
         mapping = cut(mapping.join(step, "community", "left").select("node_id", F.coalesce("_to", "community").alias("community")))
-        before, quality = quality, modularity(adjacency, mapping).first()[0]
+        graph = cut(contract(graph, inner))
+        before, quality = quality, contracted_modularity(graph).first()[0]
         if before is not None and abs(quality - before) < least_gain:
             break
-        graph = cut(contract(graph, inner))
     least = mapping.groupBy("community").agg(F.min("node_id").alias("least"))
     return mapping.join(least, "community").select("node_id", F.col("least").alias("community"))
 

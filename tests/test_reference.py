@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from codeloom.engine import Engine
 from codeloom.functions.text import glob_regex, glob_suffix, module_file
-from codeloom.operators import communities
-from codeloom.plans import catalog
+from codeloom.operators import communities, search
+from codeloom.plans import catalog, lineage
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
@@ -131,6 +131,23 @@ def test_communities_settle(spark, local):
     assert quality(found) >= quality(flat) - 1e-9 and quality(found) >= quality(greedy) - 0.02
 
 
+def test_communities_of_a_million_edges(spark):
+    # Triangles: more entries than one task took before, which then needed a table for each of many rounds.
+    corner = [(F.col("id") * 3 + i).alias(n) for i, n in enumerate("xyz")]
+    ways = F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ("xy", "yx", "xz", "zx", "yz", "zy")])).alias("way")
+    graph = lineage.cut(spark.range(200_000).select(*corner).select(ways).select("way.*", F.lit(1.0).alias("weight")))
+    before = len(lineage._written)
+    labels = communities.settle(graph, 1_200_000.0)
+    assert len(lineage._written) == before + 1
+    assert labels.count() == 600_000 and labels.where("community <> node_id - node_id % 3 + 1").isEmpty()
+
+
+def test_communities_read_edges_once(spark):
+    t, _ = frames(spark)
+    edges = t("edg").join(t("edg").select("source_id").distinct(), "source_id")
+    assert communities.symmetrised(edges)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def frames(spark):
     """A chain of 30 calls through 7, 42 and 77, with its symbols."""
     chain = [*range(100, 108), 7, *range(108, 119), 42, *range(119, 123), 77, *range(123, 128)]
