@@ -595,7 +595,8 @@ def architecture(t, spark):
 @query()
 def architecture_communities(t, spark):
     """The sizes of the communities of the sparse graph and the largest ones."""
-    found = cut(C.summary(C.symmetrised(t("sparse")), C.detect(t("sym"), t("sparse"))))
+    adjacency = cut(C.symmetrised(t("sparse")))
+    found = cut(C.summary(adjacency, C.detect_in(t("sym"), adjacency)))
     groups = C.ranked(C.largest(found)).select(F.lit("community").alias("part"), F.col("community").cast("string").alias("item"), F.col("n_members").alias("value"))
     return groups.unionByName(C.sizes(found).select(F.lit("count").alias("part"), "item", "value"))
 

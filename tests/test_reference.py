@@ -181,6 +181,18 @@ def test_no_rows_are_left_out(spark):
     assert {(r["path"], r["symbol"]) for r in catalog.search_code(t, spark).collect()} == {("/p/7.ts", "f7"), ("/p/x.ts", None)}
 
 
+def test_architecture_communities_read_the_graph_once(spark):
+    t, chain = frames(spark)
+    asked = []
+
+    def table(name):
+        asked.append(name)
+        return t({"sparse": "edg"}.get(name, name))
+
+    rows = catalog.architecture_communities(table, spark).collect()
+    assert sum(r["value"] for r in rows if r["part"] == "community") == len(chain) and sorted(asked) == ["sparse", "sym"]
+
+
 def test_architecture_has_all_parts(engine):
     parts = {}
     for r in engine.query("get_architecture").collect():
