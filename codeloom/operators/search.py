@@ -61,9 +61,10 @@ def symbol_like(nodes: DataFrame, part: str, limit: int = 20) -> DataFrame:
 
 def lines_of(files: DataFrame) -> DataFrame:
     """(path, line_no, line): lines end at a newline, lose one carriage return, and a last empty one does not count."""
-    rows = files.select("path", F.posexplode(F.split("content", "\n")).alias("p", "line"), F.size(F.split("content", "\n")).alias("n"))
+    split = files.select("path", F.split("content", "\n").alias("lines")).select("path", "lines", F.size("lines").alias("n"))
+    rows = split.select("path", F.posexplode("lines").alias("p", "line"), "n")
     kept = rows.where(~((F.col("p") == F.col("n") - 1) & (F.col("line") == "")))
-    return kept.select("path", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+    return kept.select("path", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
 
 
 def valid_pattern(spark: SparkSession, pattern: str) -> None:
@@ -86,7 +87,7 @@ def search_code(files: DataFrame, pattern: str, nodes: DataFrame, suffix: str =
     """(path, line_no, line, symbol): matching lines, trimmed, and the outermost symbol around each."""
     valid_pattern(files.sparkSession, pattern)
     chosen = files.where(F.col("path").endswith(suffix)) if suffix else files
-    hits = lines_of(chosen).where(F.col("line").rlike(pattern)).withColumn("line", F.trim("line"))
+    hits = lines_of(chosen).where(F.col("line").rlike(pattern)).withColumn("line", F.regexp_replace("line", r"^[ \t\n\f\r]+|[ \t\n\f\r]+\z", ""))
     if limit:
         hits = hits.orderBy("path", "line_no").limit(limit)
     return around(hits, nodes)

@@ -41,6 +41,11 @@ VIEWS = {
     "changes": "SELECT event_id, user_id AS path, ts, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'remove' ELSE 'modify' END AS kind, md5(props) AS content_hash FROM {events}",
 }
 
+#: Views that Spark joins on equal keys; for the same rows by a range it would compare all with all.
+EQUAL_KEYS = {
+    "lined": VIEWS["lined"].replace("{doc_files} f JOIN {sym} s ON s.node_id BETWEEN f.file_id AND f.file_id + 2", "(SELECT path, explode(sequence(file_id, file_id + 2)) AS near FROM {doc_files} d) f JOIN {sym} s ON s.node_id = f.near"),
+}
+
 
 def needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
@@ -49,7 +54,7 @@ def needs(sql: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
+    sql = EQUAL_KEYS.get(name, VIEWS[name])
     return spark.sql(sql, **{k: view(spark, sf_dir, k) for k in needs(sql)})
 
 

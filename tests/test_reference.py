@@ -162,6 +162,14 @@ def frames(spark):
     return found.__getitem__, chain
 
 
+def test_search_meets_symbols_by_equal_keys(spark):
+    assert "NestedLoop" not in catalog.view(spark, DATA, "lined")._jdf.queryExecution().executedPlan().toString()
+    files = spark.createDataFrame([("/p/x.ts", "\t 123\f\r\r\n456\u2028\n\n")], "path string, content string")
+    assert [r["line"] for r in search.lines_of(files).orderBy("line_no").collect()] == ["\t 123\f\r", "456\u2028", ""]
+    none = spark.createDataFrame([], "path string, name string, line_start int, line_end int, node_id long")
+    assert {r["line"] for r in search.search_code(files, "[0-9]", none).collect()} == {"123", "456\u2028"}
+
+
 def test_whole_depths(spark):
     t, chain = frames(spark)
     at = chain.index
